@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        to = Path(tempfile.mkdtemp(prefix="methloom-code-")) / "methloom_code.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, Path(root.name) / p.relative_to(root))
+        spark.sparkContext.addPyFile(str(to))
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
