@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methloom.core import table
+from methloom.core import durable, table
 from methloom.functions.clean import clean_chrom, clean_context
 from methloom.llm.bpe import encode_corpus
 from methloom.llm.chunking import split_long_texts
@@ -37,8 +37,11 @@ def _totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of total per chrom and context over all rows, combined from the states of the samples."""
-    return exact_percentiles(combine_states(_totals(spark, d), ["chrom", "context"]), ["chrom", "context"], PROBS)
+    """Percentiles of total per chrom and context, of each sample and, combined from the samples' states, of all ('(all)')."""
+    by = ["sample_id", "chrom", "context"]
+    single = durable(_totals(spark, d))
+    whole = combine_states(single, ["chrom", "context"]).withColumn("sample_id", F.lit("(all)"))
+    return exact_percentiles(single.unionByName(whole), by, PROBS)
 
 
 def p2_sample_medians(spark: SparkSession, d: str) -> DataFrame:
@@ -78,22 +81,40 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_percentiles, p2_sample_medians, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
+def p2_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The same per run day and context, of each day and of all days combined."""
+    t = table(spark, d, "site_proportions")
+    by = {"run_day": F.date_format("run_at", "yyyy-MM-dd"), "context": clean_context(F.col("context"), F.col("site_name"))}
+    single = durable(value_states(t, by, count_or_null("total")))
+    whole = combine_states(single, ["context"]).withColumn("run_day", F.lit("(all)"))
+    return exact_percentiles(single.unionByName(whole), ["run_day", "context"], PROBS)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_percentiles, p2_day_percentiles, p2_sample_medians, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
 
 _TOTALS = """
-WITH q AS (SELECT sample_id, COALESCE(CASE WHEN TRIM(chrom) <> '' THEN chrom END, SPLIT_PART(site_name, ':', 1)) AS chrom,
+WITH q AS (SELECT sample_id, STRFTIME(run_at, '%Y-%m-%d') AS run_day, COALESCE(CASE WHEN TRIM(chrom) <> '' THEN chrom END, SPLIT_PART(site_name, ':', 1)) AS chrom,
     CASE UPPER(TRIM(COALESCE(CASE WHEN TRIM(context) <> '' THEN context END, SPLIT_PART(site_name, ':', 4)))) WHEN 'CPG' THEN 'CG'
       ELSE UPPER(TRIM(COALESCE(CASE WHEN TRIM(context) <> '' THEN context END, SPLIT_PART(site_name, ':', 4)))) END AS context, CAST(total AS DOUBLE) AS v
   FROM site_proportions WHERE total >= 0)"""
 _PROBS = "(VALUES " + ", ".join(f"(CAST({p} AS DOUBLE))" for p in PROBS) + ") AS ps(prob)"
 
+def _percentiles_sql(by: str) -> str:
+    """By linear interpolation between the order statistics at floor and ceil of prob (n - 1), for the rows of ``u``."""
+    same = lambda x: " AND ".join(f"{x}.{c} = t.{c}" for c in by.split(", "))
+    return f"""r AS (SELECT {by}, v, ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY v) - 1 AS i, COUNT(*) OVER (PARTITION BY {by}) AS n FROM u),
+t AS (SELECT {by}, prob, n, prob * (n - 1) AS h, CAST(FLOOR(prob * (n - 1)) AS BIGINT) AS lo FROM (SELECT DISTINCT {by}, n FROM r) g, {_PROBS})
+SELECT {", ".join(f"t.{c}" for c in by.split(", "))}, t.prob, t.n, CASE WHEN b.v IS NULL OR t.h = t.lo OR a.v = b.v THEN a.v ELSE a.v + (b.v - a.v) * (1 - (1 - (t.h - t.lo))) END AS value, CAST(0 AS DOUBLE) AS max_error
+FROM t JOIN r a ON {same("a")} AND a.i = t.lo LEFT JOIN r b ON {same("b")} AND b.i = t.lo + 1"""
+
+
 SQL = {
     "p2_percentiles": f"""{_TOTALS},
-r AS (SELECT chrom, context, v, ROW_NUMBER() OVER (PARTITION BY chrom, context ORDER BY v) - 1 AS i, COUNT(*) OVER (PARTITION BY chrom, context) AS n FROM q),
-t AS (SELECT chrom, context, prob, n, prob * (n - 1) AS h, CAST(FLOOR(prob * (n - 1)) AS BIGINT) AS lo FROM (SELECT DISTINCT chrom, context, n FROM r) g, {_PROBS})
-SELECT t.chrom, t.context, t.prob, t.n, CASE WHEN b.v IS NULL OR t.h = t.lo OR a.v = b.v THEN a.v ELSE a.v + (b.v - a.v) * (1 - (1 - (t.h - t.lo))) END AS value, CAST(0 AS DOUBLE) AS max_error
-FROM t JOIN r a ON a.chrom = t.chrom AND a.context = t.context AND a.i = t.lo
-LEFT JOIN r b ON b.chrom = t.chrom AND b.context = t.context AND b.i = t.lo + 1""",
+u AS (SELECT sample_id, chrom, context, v FROM q UNION ALL SELECT '(all)', chrom, context, v FROM q),
+{_percentiles_sql("sample_id, chrom, context")}""",
+    "p2_day_percentiles": f"""{_TOTALS},
+u AS (SELECT run_day, context, v FROM q UNION ALL SELECT '(all)', context, v FROM q),
+{_percentiles_sql("run_day, context")}""",
     "p2_sample_medians": f"""{_TOTALS}
 SELECT sample_id, context, CAST(0.5 AS DOUBLE) AS prob, COUNT(*) AS n, QUANTILE_CONT(v, 0.5) AS value, CAST(0 AS DOUBLE) AS max_error FROM q GROUP BY sample_id, context""",
 }
