@@ -55,70 +55,75 @@ def fisher_counts(m1, c1, m2, c2, table: str = "totals") -> np.ndarray:
     return fisher_two_sided(m1, c1, m2, c2)
 
 
-def _loglik(theta: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    """Beta-binomial log-likelihood of one locus; theta holds the logits of the level's factors and of the dispersion."""
-    p = 1 / (1 + np.exp(-np.clip(x @ theta[:-1], -700, 700)))
-    phi = 1 / (1 + math.exp(-min(max(theta[-1], -700), 700)))
-    total = 0.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for ps, ys, ns in zip(p, y, n):
-            k = np.arange(max(ys, ns - ys, ns), dtype=float)
-            total += np.log((1 - phi) * ps + phi * k[:ys]).sum() + np.log((1 - phi) * (1 - ps) + phi * k[: ns - ys]).sum()
-            total -= np.log1p(phi * (k[:ns] - 1)).sum()
-    return float(total)
-
-
-def _gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    p = 1 / (1 + np.exp(-np.clip(x @ theta[:-1], -700, 700)))
-    phi = 1 / (1 + math.exp(-min(max(theta[-1], -700), 700)))
-    g = np.zeros(len(theta))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for s, (ps, ys, ns) in enumerate(zip(p, y, n)):
-            k = np.arange(max(ns, 1), dtype=float)
-            up, dn = (1 - phi) * ps + phi * k[:ys], (1 - phi) * (1 - ps) + phi * k[: ns - ys]
-            g[:-1] += (np.sum(1 / up) - np.sum(1 / dn)) * (1 - phi) * ps * (1 - ps) * x[s]
-            g[-1] += (np.sum((k[:ys] - ps) / up) + np.sum((k[: ns - ys] - (1 - ps)) / dn) - np.sum((k[:ns] - 1) / (1 + phi * (k[:ns] - 1)))) * phi * (1 - phi)
-    return g
-
-
-def fit_beta_binomial(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 200) -> float:
-    """Greatest log-likelihood of the beta-binomial regression of counts y of n on the design x, by BFGS.
+def _evaluate(theta: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Negative beta-binomial log-likelihood and its gradient, for many loci at once.
+
+    theta (loci, factors + 1) holds the logits of the level's factors and of the
+    dispersion, x (loci, samples, factors) the design, y and n (loci, samples) the
+    counts. Padding samples have n = 0 and add nothing.
+    """
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        p = 1 / (1 + np.exp(-np.einsum("bsf,bf->bs", x, theta[:, :-1])))[..., None]
+        phi = (1 / (1 + np.exp(-theta[:, -1])))[:, None, None]
+        k = np.arange(max(1, int(n.max())), dtype=float)
+        my, mu, mn = k < y[..., None], k < (n - y)[..., None], k < n[..., None]
+        up, dn, dd = (1 - phi) * p + phi * k, (1 - phi) * (1 - p) + phi * k, 1 + phi * (k - 1)
+        sums = lambda m, v: np.where(m, v, 0.0).sum(2)
+        ll = (sums(my, np.log(up)) + sums(mu, np.log(dn)) - sums(mn, np.log(dd))).sum(1)
+        slope = (sums(my, 1 / up) - sums(mu, 1 / dn)) * ((1 - phi) * p * (1 - p))[..., 0]
+        g_level = np.einsum("bs,bsf->bf", slope, x)
+        g_phi = (sums(my, (k - p) / up) + sums(mu, (k - (1 - p)) / dn) - sums(mn, (k - 1) / dd)).sum(1) * (phi * (1 - phi))[:, 0, 0]
+    return -ll, -np.concatenate([g_level, g_phi[:, None]], 1)
+
+
+def fit_beta_binomial(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Greatest log-likelihood of the beta-binomial regression per locus, by BFGS over all loci together.
 
     Starts at level logits 0 and dispersion logit -2.5. Logits are kept within
-    +-30, where the likelihood is flat; NaN if it can't be evaluated.
+    +-30, where the likelihood is flat; NaN where it can't be evaluated.
     """
-    x, y, n = np.asarray(x, float), np.asarray(y, int), np.asarray(n, int)
-    theta = np.r_[np.zeros(x.shape[1]), -2.5]
-    f, g = -_loglik(theta, x, y, n), -_gradient(theta, x, y, n)
-    h = np.eye(len(theta))
+    B, P = len(y), x.shape[2] + 1
+    theta = np.concatenate([np.zeros((B, P - 1)), np.full((B, 1), -2.5)], 1)
+    f, g = _evaluate(theta, x, y, n)
+    h = np.tile(np.eye(P), (B, 1, 1))
+    live = np.isfinite(f) & np.isfinite(g).all(1)
+    failed = ~live
     for _ in range(rounds):
-        if not np.isfinite(f) or not np.isfinite(g).all():
-            return float("nan")
-        if np.abs(g).max() < 1e-6:
+        live &= np.abs(g).max(1) >= 1e-6
+        i = np.flatnonzero(live)
+        if not len(i):
             break
-        step = -h @ g
-        if step @ g > -1e-14:
-            h, step = np.eye(len(theta)), -g
-        t = min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        while t > 1e-10:
-            new = np.clip(theta + t * step, -30, 30)
-            fn = -_loglik(new, x, y, n)
-            if np.isfinite(fn) and fn <= f + 1e-4 * t * (step @ g):
+        step = -np.einsum("bij,bj->bi", h[i], g[i])
+        slope = (step * g[i]).sum(1)
+        uphill = slope > -1e-14
+        h[i[uphill]] = np.eye(P)
+        step[uphill] = -g[i[uphill]]
+        slope = (step * g[i]).sum(1)
+        t = np.minimum(1.0, 5 / np.maximum(np.abs(step).max(1), 1e-12))
+        new, fn, gn = theta[i].copy(), f[i].copy(), g[i].copy()
+        todo = np.arange(len(i))
+        for _ in range(34):
+            j = i[todo]
+            trial = np.clip(theta[j] + t[todo, None] * step[todo], -30, 30)
+            ft, gt = _evaluate(trial, x[j], y[j], n[j])
+            good = np.isfinite(ft) & np.isfinite(gt).all(1) & (ft <= f[j] + 1e-4 * t[todo] * slope[todo])
+            k = todo[good]
+            new[k], fn[k], gn[k] = trial[good], ft[good], gt[good]
+            todo = todo[~good]
+            if not len(todo):
                 break
-            t /= 2
-        else:
-            break
-        gn = -_gradient(new, x, y, n)
-        s, q = new - theta, gn - g
-        theta, improved = new, f - fn
-        f, g = fn, gn
-        if improved < 1e-10:
-            break
-        sq = s @ q
-        if sq > 1e-12:
-            r = np.eye(len(s)) - np.outer(s, q) / sq
-            h = r @ h @ r.T + np.outer(s, s) / sq
-    return -f
+            t[todo] /= 2
+        s, q = new - theta[i], gn - g[i]
+        sq = (s * q).sum(1)
+        curve = sq > 1e-12
+        c = i[curve]
+        if len(c):
+            sc, qc, r = s[curve], q[curve], 1 / sq[curve]
+            left = np.eye(P) - r[:, None, None] * np.einsum("bi,bj->bij", sc, qc)
+            h[c] = left @ h[c] @ left.transpose(0, 2, 1) + r[:, None, None] * np.einsum("bi,bj->bij", sc, sc)
+        live[i[f[i] - fn < 1e-10]] = False
+        theta[i], f[i], g[i] = new, fn, gn
+    return np.where(failed, np.nan, -f)
 
 
 def chi2_upper(x: float) -> float:
@@ -126,13 +131,28 @@ def chi2_upper(x: float) -> float:
     return math.erfc(math.sqrt(max(x, 0.0) / 2))
 
 
-def group_lrt(y: np.ndarray, n: np.ndarray, group: np.ndarray) -> float:
-    """p of the likelihood ratio of a level per group against one level; a fit that fails gives 1.0, which is never significant."""
-    one = np.ones((len(y), 1))
-    full = fit_beta_binomial(np.hstack([one, (np.asarray(group) == 1).astype(float)[:, None]]), y, n)
-    null = fit_beta_binomial(one, y, n)
-    p = chi2_upper(2 * (full - null))
-    return p if p == p else 1.0
+def group_lrt(loci: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """p of the likelihood ratio of a level per group against one level, for loci of (group, m, coverage) samples.
+
+    A fit that fails gives 1.0, which is never significant.
+    """
+    out = np.ones(len(loci))
+    deep = [max((c for _, _, c in r), default=0) * max(1, len(r)) for r in loci]
+    order = np.argsort(deep, kind="stable")  # like sizes together, so that little is padded
+    at = 0
+    while at < len(order):
+        size = max(1, min(512, 1_000_000 // max(1, deep[order[min(at + 511, len(order) - 1)]])))
+        block = order[at : at + size]
+        at += size
+        width = max(len(loci[i]) for i in block)
+        x, y, n = np.zeros((len(block), width, 2)), np.zeros((len(block), width), int), np.zeros((len(block), width), int)
+        x[..., 0] = 1
+        for b, i in enumerate(block):
+            for s, (g, m, c) in enumerate(loci[i]):
+                x[b, s, 1], y[b, s], n[b, s] = g == 1, min(max(m, 0), max(c, 0)), max(c, 0)
+        ratio = 2 * (fit_beta_binomial(x, y, n) - fit_beta_binomial(x[..., :1], y, n))
+        out[block] = [chi2_upper(r) if r == r else 1.0 for r in ratio]
+    return out
 
 
 def fisher_expression(a: Column, b: Column, c: Column, d: Column, log_factorials: Column) -> Column:

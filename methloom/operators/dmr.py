@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from methloom.core import ship
 from methloom.functions.stats import fisher_counts, group_lrt
@@ -53,12 +54,11 @@ def lrt_sites(counts: DataFrame, min_diff: float = 0.25, table: str = "totals")
             if part.any():
                 q = df[part]
                 p[part] = fisher_counts(q["m1"], q["c1"], q["m2"], q["c2"], table)
-            for i in np.flatnonzero(~part):
-                key = tuple(sorted((int(x["_g"]), int(x["m"]), int(x["coverage"])) for x in df["counts"].iat[i]))
-                if key not in memo:
-                    g, y, n = (np.array(v) for v in zip(*key))
-                    memo[key] = group_lrt(y, n, g)
-                p[i] = memo[key]
+            keys = {i: tuple(sorted((int(x["_g"]), int(x["m"]), int(x["coverage"])) for x in df["counts"].iat[i])) for i in np.flatnonzero(~part)}
+            new = [k for k in dict.fromkeys(keys.values()) if k not in memo]
+            memo.update(zip(new, group_lrt([list(k) for k in new])))
+            for i, k in keys.items():
+                p[i] = memo[k]
             yield df[keep].assign(p_value=p)
 
     return rows.mapInPandas(run, schema)
@@ -128,11 +128,11 @@ def call_regions(loci: DataFrame, min_sites: int = 4, gap: int = 100, max_span:
     """
     from methloom.operators.intervals import islands
 
-    marked = islands(loci.select("chrom", "start", "m1", "c1", "m2", "c2", "diff"), ["chrom"], "start", gap)
+    marked = islands(loci.select("chrom", "start", "m1", "c1", "m2", "c2", "diff"), "chrom", "start", gap)
     by = ["chrom", "island"]
     if max_span is not None:
         ship(marked.sparkSession)
-        schema = marked.schema.add("piece", "long")
+        schema = T.StructType([*marked.schema.fields, T.StructField("piece", T.LongType())])
 
         def walk(df: pd.DataFrame) -> pd.DataFrame:
             df = df.sort_values("start", kind="stable")

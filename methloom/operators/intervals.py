@@ -101,8 +101,25 @@ def region_windows(regions: DataFrame, bins: int, size: int, move: int) -> DataF
     )
 
 
-def islands(df: DataFrame, by: list[str], at: str, gap: int) -> DataFrame:
-    """Number the runs of positions with steps of at most ``gap`` (``island``, from 1 per ``by``)."""
-    w = Window.partitionBy(*by).orderBy(at)
-    new = (F.lag(at).over(w).isNull() | (F.col(at) - F.lag(at).over(w) > gap)).cast("int")
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def islands(df: DataFrame, by: str, at: str, gap: int) -> DataFrame:
+    """Number the runs of positions with steps of at most ``gap`` within each ``by`` (``island``, unique over all).
+
+    Positions are range partitioned by (by, at); the last row of each partition
+    and its number of runs are carried to the later ones, so a chromosome is
+    spread over tasks and only a row per partition is gathered. Ties in position
+    fall into one run.
+    """
+    from methloom.core import durable
+
+    b = durable(df.where(F.col(at).isNotNull()).repartitionByRange(by, at).withColumn("_b", F.spark_partition_id()))
+    w = Window.partitionBy("_b").orderBy(by, at)
+    ends = b.groupBy("_b").agg(F.max(F.struct(by, at)).alias("_end"))
+    before = ends.select("_b", F.lag("_end").over(Window.orderBy("_b")).alias("_prev"))  # one row per partition
+    here = F.struct(F.col(by), F.col(at))
+    x = b.join(F.broadcast(before), "_b").withColumn("_last", F.coalesce(F.lag(here).over(w), F.col("_prev")))
+    joins = F.col(f"_last.{by}").eqNullSafe(F.col(by)) & (F.col(at) - F.col(f"_last.{at}") <= gap)
+    x = x.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("long"))
+    runs = x.groupBy("_b").agg(F.sum("_new").alias("_n"))
+    earlier = runs.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    number = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("_run", number).join(F.broadcast(earlier), "_b").withColumn("island", F.col("_run") + F.col("_off")).drop("_b", "_prev", "_last", "_new", "_run", "_off")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from methloom.core import small_side
@@ -107,9 +107,9 @@ def well_aligned(pieces: DataFrame, rate: float = 0.1) -> DataFrame:
     """Pieces of the reads with at most 0.5 + rate * length mismatches, conversion not counted."""
     at = lambda c, i: F.substring(c, i, F.lit(1))
     n = F.size(F.filter(F.sequence(F.lit(1), F.length("bases")), lambda i: _mismatch(at(F.col("bases"), i), at(F.col("ref"), i + FLANK), F.col("hit"))))
-    counted = pieces.withColumn("_mm", n)
-    good = counted.groupBy("read_id").agg(F.sum("_mm").alias("mm"), F.first("read_len").alias("len")).where(F.col("mm") <= 0.5 + rate * F.col("len"))
-    return counted.join(good.select("read_id"), "read_id", "left_semi").drop("_mm")
+    # A read has few pieces, so its window is small.
+    total = F.sum("_mm").over(Window.partitionBy("read_id"))
+    return pieces.withColumn("_mm", n).withColumn("_mm", total).where(F.col("_mm") <= 0.5 + rate * F.col("read_len")).drop("_mm")
 
 
 def read_bases(pieces: DataFrame) -> DataFrame:
@@ -164,18 +164,19 @@ def emit_sites(piled: DataFrame, min_cover: int = 4, max_cover: int = 1000, cont
     return out if context in (None, "C") else out.where(F.col("context") == context)
 
 
-def sites_from_reads(reads: DataFrame, reference: DataFrame, min_mapq: int = 30, proper_pairs: bool = True, mismatch_rate: float | None = 0.1, dedup: bool = False, trim: bool = True, **emit) -> DataFrame:
+def sites_from_reads(reads: DataFrame, reference: DataFrame, min_mapq: int = 30, proper_pairs: bool = True, mismatch_rate: float | None = 0.1, dedup: bool = False, trim: bool = True, chunk: int = CHUNK, **emit) -> DataFrame:
     """The whole path from alignments and a chunked reference to sites."""
-    return emit_sites(pileup(bases_from_reads(reads, reference, min_mapq, proper_pairs, mismatch_rate, dedup, trim)), **emit)
+    return emit_sites(pileup(bases_from_reads(reads, reference, min_mapq, proper_pairs, mismatch_rate, dedup, trim, chunk)), **emit)
 
 
-def bases_from_reads(reads: DataFrame, reference: DataFrame, min_mapq: int = 30, proper_pairs: bool = True, mismatch_rate: float | None = 0.1, dedup: bool = False, trim: bool = True) -> DataFrame:
+def bases_from_reads(reads: DataFrame, reference: DataFrame, min_mapq: int = 30, proper_pairs: bool = True, mismatch_rate: float | None = 0.1, dedup: bool = False, trim: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """Aligned bases of the usable reads; ``chunk`` is the chunk size of the reference."""
     u = usable_reads(reads, min_mapq, proper_pairs)
     if dedup:
         u = without_duplicates(u)
     if trim:
         u = trim_overlaps(u)
-    p = with_reference(aligned_pieces(u), reference)
+    p = with_reference(aligned_pieces(u, chunk), reference)
     return read_bases(p if mismatch_rate is None else well_aligned(p, mismatch_rate))
 
 
@@ -214,14 +215,14 @@ def insert_sizes(reads: DataFrame, limit: int = 1_000_000) -> DataFrame:
     return reads.where((F.col("rnext") == "=") & F.col("tlen").between(0, 2000)).select("tlen").limit(limit)
 
 
-def head_motifs(reads: DataFrame, reference: DataFrame, min_mapq: int = -1, proper_pairs: bool = True) -> DataFrame:
+def head_motifs(reads: DataFrame, reference: DataFrame, min_mapq: int = -1, proper_pairs: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The four bases at the fragment end of each read, with those of the reference and the insert size.
 
     The end is the first base of forward reads and the last of reverse ones (whose
     motif is given as on the reference strand). Converted bases are shown as U.
     """
     u = usable_reads(reads, min_mapq, proper_pairs)
-    p = with_reference(aligned_pieces(u), reference)
+    p = with_reference(aligned_pieces(u, chunk), reference)
     first = p.groupBy("read_id").agg(F.min_by(F.struct("bases", "ref"), "ref_at").alias("f"), F.max_by(F.struct("bases", "ref"), "ref_at").alias("l"))
     j = u.select("read_id", "qname", "hit", F.col("rname").alias("chrom"), "pos", "cigar", "tlen").join(first, "read_id")
     fwd = F.col("hit").isin(1, 2)

@@ -78,3 +78,42 @@ CELLS = f"{ROWS_SQL}, {site_sql('ce', 'id')}"
 REGIONS = """rg AS (SELECT CONCAT('r', CAST(s_suppkey AS VARCHAR)) AS region_id, CONCAT('chr', CAST(s_suppkey % 5 + 1 AS VARCHAR)) AS chrom,
   CAST(s_suppkey*17 AS BIGINT) AS rs, CAST(s_suppkey*17 + s_nationkey*10 + 5 AS BIGINT) AS re, s_nationkey % 2 AS rstrand, CAST(s_suppkey AS INT) AS region_idx FROM supplier)"""
 LENGTHS = "ln AS (SELECT chrom, MAX(start) + 1 AS length FROM st GROUP BY chrom)"
+
+
+#: Bases of each synthetic chromosome; its base at i is a fixed polynomial of i.
+GENOME = 2400
+
+
+def _base(i, c):
+    return F.substring(F.lit("ACGT"), ((i * i * 7 + i * 13 + F.floor(i / 3) * 5 + F.floor(i / 7) * 3 + F.floor(i / 11) + c * 31) % 4 + 1).cast("int"), F.lit(1))
+
+
+def genome(spark: SparkSession) -> DataFrame:
+    """Five synthetic chromosomes (chrom, seq)."""
+    seq = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(GENOME - 1)), lambda i: _base(i, F.col("id"))), "")
+    return spark.range(1, 6).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), seq.alias("seq"))
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    """One single-end alignment per order: 30 to 49 matched bases, a third of the cytosines of its strand converted."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 5 + 1
+    at, n = k % 2300, k % 20 + 30
+    converted = lambda i, b: F.when(((at + i + k) % 3 == 0) & (b == F.when(k % 2 == 0, "C").otherwise("G")), F.when(k % 2 == 0, "T").otherwise("A")).otherwise(b)
+    seq = F.array_join(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: converted(i, _base(at + i, c))), "")
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("q"), k.cast("string"), F.lit("_"), F.col("o_custkey").cast("string")).alias("qname"), F.when(k % 2 == 0, 0).otherwise(16).alias("flag"), F.concat(F.lit("chr"), c.cast("string")).alias("rname"),
+        (at + 1).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).cast("long").alias("pnext"), F.lit(0).alias("tlen"), seq.alias("seq"), F.lit("*").alias("qual"), F.lit("").alias("tags"),
+    )
+
+
+def _base_sql(i: str, c: str) -> str:
+    return f"SUBSTRING('ACGT', CAST((({i}) * ({i}) * 7 + ({i}) * 13 + ({i}) // 3 * 5 + ({i}) // 7 * 3 + ({i}) // 11 + {c} * 31) % 4 + 1 AS INT), 1)"
+
+
+BASES = f"""bs AS (SELECT k, c, at0 + i AS p, k % 2 AS minus, (at0 + i + k) % 3 = 0 AS conv FROM (SELECT o_orderkey AS k, o_custkey % 5 + 1 AS c, o_orderkey % 2300 AS at0, o_orderkey % 20 + 30 AS n FROM orders) o, UNNEST(RANGE(0, n)) u(i)),
+gb AS (SELECT *, {_base_sql('p', 'c')} AS b, CASE WHEN p + 1 < {GENOME} THEN {_base_sql('p + 1', 'c')} ELSE 'N' END AS b1, CASE WHEN p + 2 < {GENOME} THEN {_base_sql('p + 2', 'c')} ELSE 'N' END AS b2,
+  CASE WHEN p >= 1 THEN {_base_sql('p - 1', 'c')} ELSE 'N' END AS a1, CASE WHEN p >= 2 THEN {_base_sql('p - 2', 'c')} ELSE 'N' END AS a2 FROM bs),
+cy AS (SELECT CONCAT('chr', CAST(c AS VARCHAR)) AS chrom, p + 1 AS start, k, CASE WHEN minus = 1 THEN '-' ELSE '+' END AS strand, conv,
+  CASE WHEN minus = 0 THEN b1 ELSE TRANSLATE(a1, 'ACGT', 'TGCA') END AS n1, CASE WHEN minus = 0 THEN b2 ELSE TRANSLATE(a2, 'ACGT', 'TGCA') END AS n2
+  FROM gb WHERE b = CASE WHEN minus = 0 THEN 'C' ELSE 'G' END),
+cx AS (SELECT *, CASE WHEN n1 = 'G' THEN 'CG' WHEN n1 = 'N' THEN NULL WHEN n2 = 'G' THEN 'CHG' WHEN n2 = 'N' THEN NULL ELSE 'CHH' END AS context FROM cy)"""

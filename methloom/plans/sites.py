@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from methloom.core import table
 from methloom.functions import sequence as seqf
 from methloom.operators import analysis, cells, dmr, intervals, profile, regionstats
+from methloom.operators import reads as readops
 from methloom.operators import sites as ops
 from methloom.plans import adapter as A
 from methloom.schema import cover_c, decode_context, decode_strand
+from methloom.sources.reads import base_counts, chunked_reference
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -454,3 +456,41 @@ def kmeans_rows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pca_rows(spark: SparkSession, d: str) -> DataFrame:
     return analysis.principal_components(_matrix(spark, d), _COLS, 2).select("chrom", "start", "pc")
+
+
+# -- reads ---------------------------------------------------------------------------------------------------------------
+
+
+def _bases(spark: SparkSession, d: str) -> DataFrame:
+    return readops.bases_from_reads(A.reads(spark, d), chunked_reference(A.genome(spark), 500), proper_pairs=False, chunk=500)
+
+
+@query(
+    f"WITH {A.BASES} SELECT chrom, start, strand, context, COUNT(CASE WHEN NOT conv THEN 1 END) AS meth, CAST(COUNT(*) AS INT) AS coverage, "
+    "CAST(COUNT(CASE WHEN NOT conv THEN 1 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS value FROM cx GROUP BY chrom, start, strand, context HAVING COUNT(*) BETWEEN 4 AND 1000"
+)
+def pileup_sites(spark: SparkSession, d: str) -> DataFrame:
+    return readops.emit_sites(readops.pileup(_bases(spark, d))).select("chrom", "start", "strand", "context", "meth", "coverage", "value")
+
+
+@query(f"WITH {A.BASES} SELECT context, COUNT(CASE WHEN NOT conv THEN 1 END) AS methylated, COUNT(CASE WHEN conv THEN 1 END) AS unmethylated FROM cx WHERE context IS NOT NULL GROUP BY context")
+def read_context_totals(spark: SparkSession, d: str) -> DataFrame:
+    return readops.context_totals(_bases(spark, d))
+
+
+@query(
+    f"WITH {A.BASES}, q AS (SELECT CONCAT('q', CAST(o_orderkey AS VARCHAR), '_', CAST(o_custkey AS VARCHAR)) AS qname, o_orderkey AS k FROM orders) "
+    "SELECT q.qname, COUNT(*) AS n_c, COUNT(CASE WHEN NOT conv THEN 1 END) AS m_c, COUNT(CASE WHEN context = 'CG' THEN 1 END) AS n_cg, COUNT(CASE WHEN context = 'CHH' AND NOT conv THEN 1 END) AS m_chh FROM cx JOIN q USING (k) GROUP BY q.qname"
+)
+def read_tallies(spark: SparkSession, d: str) -> DataFrame:
+    return readops.read_tallies(_bases(spark, d)).select("qname", "n_c", "m_c", "n_cg", "m_chh")
+
+
+@query()
+def head_motif_counts(spark: SparkSession, d: str) -> DataFrame:
+    return readops.motif_counts(readops.head_motifs(A.reads(spark, d), chunked_reference(A.genome(spark), 500), proper_pairs=False, chunk=500))
+
+
+@query("SELECT CONCAT('chr', CAST(c AS VARCHAR)) AS chrom, COUNT(*) AS length, COUNT(CASE WHEN b = 'C' THEN 1 END) AS n_c, COUNT(CASE WHEN b = 'G' THEN 1 END) AS n_g, COUNT(CASE WHEN b IN ('C', 'G') THEN 1 END) AS n_cg FROM (SELECT c, " + A._base_sql("i", "c") + f" AS b FROM UNNEST(RANGE(0, {A.GENOME})) u(i), UNNEST(RANGE(1, 6)) v(c)) q GROUP BY c")
+def genome_base_counts(spark: SparkSession, d: str) -> DataFrame:
+    return base_counts(A.genome(spark))
