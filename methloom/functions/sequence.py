@@ -60,7 +60,7 @@ def corrected_level(c: Column, t: Column, g: Column, a: Column, evidence: int =
     """C / (C + T), where more than ``evidence`` opposite-strand bases allow it divided by G / (G + A), 1 at most."""
     plain = c.cast("double") / F.when(c + t > 0, (c + t).cast("double"))
     rate = g.cast("double") / F.when(g + a > 0, (g + a).cast("double"))
-    return F.when((g + a > evidence) & (g > 0), F.least(c.cast("double") / ((c + t).cast("double") * rate), F.lit(1.0))).otherwise(plain)
+    return F.when((g + a > evidence) & (g > 0) & plain.isNotNull(), F.least(plain / rate, F.lit(1.0))).otherwise(plain)
 
 
 def clean_attribute(c: Column) -> Column:

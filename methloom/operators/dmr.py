@@ -15,7 +15,9 @@ from methloom.functions.stats import fisher_counts, group_lrt
 
 
 def level_difference() -> Column:
-    return F.col("m1").cast("double") / F.col("c1").cast("double") - F.col("m2").cast("double") / F.col("c2").cast("double")
+    """Level of group 1 minus that of group 2; null if a group has no coverage."""
+    level = lambda m, c: F.col(m).cast("double") / F.when(F.col(c) > 0, F.col(c).cast("double"))
+    return level("m1", "c1") - level("m2", "c2")
 
 
 def candidates(counts: DataFrame, min_diff: float = 0.25) -> DataFrame:

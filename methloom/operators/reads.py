@@ -52,17 +52,19 @@ def reference_span() -> Column:
     return F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MD]"), 1), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
-def trim_overlaps(reads: DataFrame) -> DataFrame:
+def trim_overlaps(pieces: DataFrame) -> DataFrame:
     """Adds ``skip_to``: bases of the right mate before it are covered by the left mate already (0: none).
 
-    The left mate of a pair on one chromosome is found by an equi-join on the read name.
+    Only mates on one chromosome are brought together, by read name; every other
+    read stays in a window of its own.
     """
-    left = reads.where((F.col("rnext") == "=") & (F.col("pos") <= F.col("pnext"))).groupBy(F.col("qname").alias("_q"), F.col("rname").alias("_c")).agg(
-        F.max(F.col("pos") + reference_span()).alias("_end"), F.min("pos").alias("_p")
-    )
-    j = reads.join(left, (F.col("qname") == F.col("_q")) & (F.col("rname") == F.col("_c")), "left")
-    right = _bit(1) & (F.col("rnext") == "=") & (F.col("pos") > F.col("pnext")) & (F.col("pos") > F.col("_p"))
-    return j.withColumn("skip_to", F.when(right, F.coalesce("_end", F.lit(0))).otherwise(F.lit(0))).drop("_q", "_c", "_end", "_p")
+    mates = _bit(1) & (F.col("rnext") == "=")
+    w = Window.partitionBy("qname", "chrom", F.when(mates, F.lit(0)).otherwise(F.col("read_id")))
+    left = F.max(F.when(mates & (F.col("pos") <= F.col("pnext")), F.col("ref_end"))).over(w)
+    first = F.min(F.when(mates & (F.col("pos") <= F.col("pnext")), F.col("pos"))).over(w)
+    x = pieces.withColumn("_left", left).withColumn("_first", first)
+    right = mates & (F.col("pos") > F.col("pnext")) & (F.col("pos") > F.col("_first"))
+    return x.withColumn("skip_to", F.when(right, F.coalesce("_left", F.lit(0))).otherwise(F.lit(0))).drop("_left", "_first")
 
 
 def aligned_pieces(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -83,7 +85,7 @@ def aligned_pieces(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
     x = x.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk))))
     a, b = F.greatest("_s", F.col("chunk") * chunk), F.least("_e", (F.col("chunk") + 1) * chunk)
     off = F.col("_m.r") + a - F.col("_s")
-    keep = [c for c in ("read_id", "qname", "hit", "skip_to") if c in reads.columns]
+    keep = ["read_id", "qname", "hit", "flag", "rnext", "pos", "pnext", (F.col("pos") + reference_span()).alias("ref_end")]
     return x.select(
         *keep, F.col("rname").alias("chrom"), "chunk", a.alias("ref_at"), off.alias("read_at"), F.length("seq").alias("read_len"),
         F.upper(F.substring("seq", (off + 1).cast("int"), (b - a).cast("int"))).alias("bases"),
@@ -107,15 +109,16 @@ def well_aligned(pieces: DataFrame, rate: float = 0.1) -> DataFrame:
     """Pieces of the reads with at most 0.5 + rate * length mismatches, conversion not counted."""
     at = lambda c, i: F.substring(c, i, F.lit(1))
     n = F.size(F.filter(F.sequence(F.lit(1), F.length("bases")), lambda i: _mismatch(at(F.col("bases"), i), at(F.col("ref"), i + FLANK), F.col("hit"))))
-    # A read has few pieces, so its window is small.
-    total = F.sum("_mm").over(Window.partitionBy("read_id"))
+    # A read has few pieces, so its window is small; a repeated row is the same read and counts once.
+    each = F.collect_set(F.struct("ref_at", F.col("_mm").cast("int").alias("n"))).over(Window.partitionBy("read_id"))
+    total = F.aggregate(each, F.lit(0), lambda acc, p: acc + p.n)
     return pieces.withColumn("_mm", n).withColumn("_mm", total).where(F.col("_mm") <= 0.5 + rate * F.col("read_len")).drop("_mm")
 
 
 def read_bases(pieces: DataFrame) -> DataFrame:
     """One row per aligned base: chrom, 0-based ``at``, ``base``, ``five`` (reference around it) and its middle ``ref``."""
     x = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("bases") - 1)))
-    keep = [c for c in ("read_id", "qname", "hit") if c in pieces.columns]
+    keep = ["read_id", "qname", "hit", "pos", "ref_end"]
     x = x.withColumn("at", F.col("ref_at") + F.col("i")).select(*keep, "chrom", "at", *(["skip_to"] if "skip_to" in pieces.columns else []), F.substring("bases", F.col("i") + 1, F.lit(1)).alias("base"), F.substring("ref", F.col("i") + 1, F.lit(2 * FLANK + 1)).alias("five"))
     if "skip_to" in pieces.columns:
         x = x.where(F.col("at") + 1 >= F.col("skip_to")).drop("skip_to")
@@ -174,10 +177,10 @@ def bases_from_reads(reads: DataFrame, reference: DataFrame, min_mapq: int = 30,
     u = usable_reads(reads, min_mapq, proper_pairs)
     if dedup:
         u = without_duplicates(u)
-    if trim:
-        u = trim_overlaps(u)
     p = with_reference(aligned_pieces(u, chunk), reference)
-    return read_bases(p if mismatch_rate is None else well_aligned(p, mismatch_rate))
+    if mismatch_rate is not None:
+        p = well_aligned(p, mismatch_rate)
+    return read_bases(trim_overlaps(p) if trim else p)
 
 
 def _calls(bases: DataFrame) -> DataFrame:
@@ -220,19 +223,17 @@ def head_motifs(reads: DataFrame, reference: DataFrame, min_mapq: int = -1, prop
 
     The end is the first base of forward reads and the last of reverse ones (whose
     motif is given as on the reference strand). Converted bases are shown as U.
+    Reads whose end has no four aligned bases in a row of the reference are left out.
     """
     u = usable_reads(reads, min_mapq, proper_pairs)
-    p = with_reference(aligned_pieces(u, chunk), reference)
-    first = p.groupBy("read_id").agg(F.min_by(F.struct("bases", "ref"), "ref_at").alias("f"), F.max_by(F.struct("bases", "ref"), "ref_at").alias("l"))
-    j = u.select("read_id", "qname", "hit", F.col("rname").alias("chrom"), "pos", "cigar", "tlen").join(first, "read_id")
     fwd = F.col("hit").isin(1, 2)
-    bases = F.when(fwd, F.substring("f.bases", 1, 4)).otherwise(F.expr("right(l.bases, 4)"))
-    ref = F.when(fwd, F.substring("f.ref", FLANK + 1, 4)).otherwise(F.expr(f"substring(l.ref, length(l.ref) - {FLANK + 3}, 4)"))
-    shown = F.concat(*(
-        F.when((F.substring(bases, i, 1) == F.when(F.col("hit").isin(1, 3), "T").otherwise("A")) & (F.substring(ref, i, 1) == F.when(F.col("hit").isin(1, 3), "C").otherwise("G")), "U").otherwise(F.substring(bases, i, 1))
-        for i in range(1, 5)
-    ))
-    return j.select("qname", "hit", "chrom", "pos", "cigar", shown.alias("head4"), ref.alias("ref4"), F.col("tlen").alias("insert_size"))
+    ends = read_bases(with_reference(aligned_pieces(u, chunk), reference)).where(F.when(fwd, F.col("at") < F.col("pos") + 3).otherwise(F.col("at") >= F.col("ref_end") - 5))
+    plus = F.col("hit").isin(1, 3)
+    converted = (F.col("base") == F.when(plus, "T").otherwise("A")) & (F.col("ref") == F.when(plus, "C").otherwise("G"))
+    four = F.array_sort(F.collect_list(F.struct("at", F.when(converted, "U").otherwise(F.col("base")).alias("b"), F.col("ref").alias("r"))))  # 4 at most
+    text = lambda f: F.array_join(F.transform("x", lambda e: e[f]), "")
+    motifs = ends.groupBy("read_id").agg(four.alias("x")).select("read_id", text("b").alias("head4"), text("r").alias("ref4")).where(F.length("head4") == 4)
+    return u.select("read_id", "qname", "hit", F.col("rname").alias("chrom"), "pos", "cigar", F.col("tlen").alias("insert_size")).join(motifs, "read_id").drop("read_id")
 
 
 def motif_counts(motifs: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def coverage_histogram(sites: DataFrame, total: int | None = None, top: int = 16
     w = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)  # `top` rows
     counted = every.join(F.broadcast(per), "b", "left").select("b", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n_sites"))
     whole = F.lit(total) if total else F.max("n_sites").over(Window.partitionBy())
-    return counted.select(F.col("b").alias("min_coverage"), "n_sites", (100 * F.col("n_sites").cast("double") / whole.cast("double")).alias("percent"))
+    return counted.select(F.col("b").alias("min_coverage"), "n_sites", (100 * F.col("n_sites").cast("double") / F.when(whole > 0, whole.cast("double"))).alias("percent"))
 
 
 def level_histogram(sites: DataFrame, bins: int = 10) -> DataFrame:

@@ -100,7 +100,9 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     at, n = k % 2300, k % 20 + 30
     converted = lambda i, b: F.when(((at + i + k) % 3 == 0) & (b == F.when(k % 2 == 0, "C").otherwise("G")), F.when(k % 2 == 0, "T").otherwise("A")).otherwise(b)
     seq = F.array_join(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: converted(i, _base(at + i, c))), "")
-    return table(spark, d, "orders").select(
+    # The sequences are costly to make and the table is one small file: spread its rows first.
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism)
+    return orders.select(
         F.concat(F.lit("q"), k.cast("string"), F.lit("_"), F.col("o_custkey").cast("string")).alias("qname"), F.when(k % 2 == 0, 0).otherwise(16).alias("flag"), F.concat(F.lit("chr"), c.cast("string")).alias("rname"),
         (at + 1).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).cast("long").alias("pnext"), F.lit(0).alias("tlen"), seq.alias("seq"), F.lit("*").alias("qual"), F.lit("").alias("tags"),
     )

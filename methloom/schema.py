@@ -44,7 +44,10 @@ def _code(c: Column, names: tuple[str, ...]) -> Column:
 
 
 def _name(c: Column, names: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), F.when((c >= 0) & (c < len(names)), c.cast("int") + 1))
+    out = F.when(c == 0, F.lit(names[0]))
+    for i, n in enumerate(names[1:], 1):
+        out = out.when(c == i, F.lit(n))
+    return out
 
 
 def encode_strand(c: Column) -> Column:
