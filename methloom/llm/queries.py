@@ -11,7 +11,7 @@ from methloom.llm.bpe import encode_corpus
 from methloom.llm.chunking import split_long_texts
 from methloom.llm.leakage import find_leaks, without_leaks
 from methloom.llm.percentiles import combine_states, exact_percentiles, value_states
-from methloom.llm.spectral import cell_pairs, cell_table, group_summary, spectral_groups
+from methloom.llm.spectral import cell_pairs, cell_table, group_summary, purified, spectral_groups
 from methloom.operators.imputation import count_or_null
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return group_summary(_groups(spark, d))
+    return group_summary(purified(_groups(spark, d)))
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,10 @@ from methloom.operators.imputation import identifier_or_null
 #: Cells are alike if their mean absolute difference over shared features, and that of their levels, is within this.
 TOLERANCE = 0.10
 TABLES, SPARE_BITS, WILD, LEVEL_WIDTH = 6, 6, 6, 0.12
-VECTORS, ROUNDS = 4, 4
+ROUNDS = 4
 #: Most features of a panel; a panel is a fixed list of regions, one array per cell.
 PANEL = 20_000
-_GRID, _EDGE = 0.2, 0.025
+_GRID, _EDGE = 0.1, 0.02
 
 
 def cell_table(matrix: DataFrame, qc: DataFrame) -> DataFrame:
@@ -146,11 +147,13 @@ def _unit(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 39)) - 1
 
 
-def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int = VECTORS) -> DataFrame:
+def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int | None = None) -> DataFrame:
     """Divide cells into groups: ``cell_id``, ``grp``, ``affinity``, ``level``, ``vals``.
 
     ``cells`` has cell_id (unique), level and f as ``cell_table`` gives them. Power
-    iteration of the normalised affinity carries ``vectors`` values per cell;
+    iteration of the normalised affinity carries ``vectors`` values per cell
+    (default: 2 and one more per factor of 16 in cells, 5 at least, so that groups
+    stay apart in the embedding however many there are);
     after ``rounds`` the cells of a group have all but the same embedding. K-means
     then runs on the embedding: seeds are the occupied places of a grid, a point
     goes to the heaviest seed nearby, centres are recomputed and points go to the
@@ -162,6 +165,8 @@ def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int = VECTO
     z = cells.select("cell_id", F.explode("buckets").alias("b"))
     shared = z.groupBy("b").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
     z = durable(z.join(shared, "b").select("cell_id", "b", "w"))
+    if vectors is None:
+        vectors = max(5, 2 + math.ceil(math.log(cells.count() + 1, 16)))
     vs = [f"x{i}" for i in range(vectors)]
     # The start: one random value per smallest shared bucket, so that large groups keep apart too.
     x = z.groupBy("cell_id").agg(F.min("b").alias("m")).select("cell_id", *(_unit(F.col("m"), F.lit(i)).cast("float").alias(v) for i, v in enumerate(vs)))
@@ -223,6 +228,25 @@ def cell_pairs(groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return pairs.where(_alike("a", "b", tolerance)).select(F.col("a.cell_id").alias("cell_id_a"), F.col("b.cell_id").alias("cell_id_b"))
 
 
+def purified(groups: DataFrame, tolerance: float = TOLERANCE, rounds: int = 3) -> DataFrame:
+    """Groups whose members are all alike their most typical cell, by the exact check.
+
+    Members that aren't leave the group and form the next one, under their own
+    most typical cell; who is left after ``rounds`` stands alone. One join of the
+    members with one row per group a round, no pairs.
+    """
+    rest, done = durable(groups), []
+    for k in range(rounds):
+        best = rest.groupBy("grp").agg(F.max_by(F.struct("cell_id", "level", "vals"), F.struct("affinity", "cell_id")).alias("m"))
+        j = rest.alias("a").join(best.select("grp", "m.*").alias("b"), "grp")
+        alike = (F.col("a.cell_id") == F.col("b.cell_id")) | F.coalesce(_alike("a", "b", tolerance), F.lit(False))
+        j = durable(j.select("a.cell_id", "grp", "a.affinity", "a.level", "a.vals", alike.alias("ok")))
+        done.append(j.where("ok").drop("ok").withColumn("grp", F.concat(F.col("grp"), F.lit(f".{k + 1}"))))
+        rest = j.where("not ok").drop("ok")
+    done.append(rest.withColumn("grp", F.concat(F.lit("single:"), "cell_id")))
+    return reduce(DataFrame.unionByName, done)
+
+
 def group_summary(groups: DataFrame, members: int = 3) -> DataFrame:
     """Each group with its size, mean level and ``members`` most typical cells (highest internal affinity, ties by cell_id).
 

@@ -9,7 +9,7 @@ from methloom.llm.bpe import PerfectHash, encode_corpus, encoder
 from methloom.llm.chunking import Cutter, split_long_texts
 from methloom.llm.leakage import find_leaks, without_leaks, words
 from methloom.llm.percentiles import combine_states, exact_percentiles, value_states
-from methloom.llm.spectral import cell_pairs, cell_table, group_summary, spectral_groups
+from methloom.llm.spectral import cell_pairs, cell_table, group_summary, purified, spectral_groups
 
 
 def reference_encoder():
@@ -191,4 +191,10 @@ def test_spectral_groups(spark):
     summary = group_summary(groups).collect()
     assert sum(r.n_cells for r in summary) == len(true) + 1
     assert all(len(r.typical_cells) == min(3, r.n_cells) for r in summary)
+    pure = purified(groups).collect()
+    assert sorted(r.cell_id for r in pure) == sorted(r.cell_id for r in groups.collect())
+    members = {}
+    for r in pure:
+        members.setdefault(r.grp, set()).add(true.get(r.cell_id, r.cell_id))
+    assert all(len(m) == 1 for m in members.values())
     assert spectral_groups(cell_table(m.limit(0), qc)).collect() == []
