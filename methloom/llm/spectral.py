@@ -194,12 +194,16 @@ def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int | None
     label = durable(label)
 
     # A cell moves to the group that most of its affinity goes to; this also joins groups that k-means cut.
-    for _ in range(3):
-        inside = z.join(label, "cell_id").groupBy("b", "grp").agg(F.count(F.lit(1)).alias("k"))
-        toward = z.join(inside, "b").groupBy("cell_id", "grp").agg(F.sum("k").alias("k"))
-        label = toward.groupBy("cell_id").agg(F.max_by("grp", F.struct("k", "grp")).alias("grp"), F.max("k").alias("k"))
-    degree = z.groupBy("cell_id").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("own"))
-    affinity = degree.join(label, "cell_id").select("cell_id", "grp", ((F.col("k") - F.col("own")) / (F.col("w") - F.col("own"))).alias("affinity"))
+    # Moves go to greater names in one round and to lesser ones in the next, so that two cells can't just change places.
+    for up in (True, False, True, False):
+        zl = z.join(label.select("cell_id", "grp"), "cell_id")
+        inside = zl.groupBy("b", "grp").agg(F.count(F.lit(1)).alias("k"))
+        toward = zl.withColumnRenamed("grp", "cur").join(inside, "b").where(F.col("grp") >= F.col("cur") if up else F.col("grp") <= F.col("cur"))
+        stays = F.col("grp") == F.col("cur")
+        per = toward.groupBy("cell_id", "cur", "grp").agg(F.sum(F.col("k") - stays.cast("int")).alias("k"))
+        label = durable(per.groupBy("cell_id").agg(F.max_by("grp", F.struct("k", stays, "grp")).alias("grp"), F.max("k").alias("k")))
+    degree = z.groupBy("cell_id").agg(F.sum(F.col("w") - 1).alias("w"))
+    affinity = degree.join(label, "cell_id").select("cell_id", "grp", (F.col("k") / F.col("w")).alias("affinity"))
     return (
         cells.drop("buckets").join(affinity, "cell_id", "left")
         .select("cell_id", F.coalesce("grp", F.concat(F.lit("single:"), "cell_id")).alias("grp"), F.coalesce("affinity", F.lit(0.0)).alias("affinity"), "level", "vals")
