@@ -157,7 +157,10 @@ class Encoder:
         return [t for _, ids in self.pieces(text) for t in ids]
 
     def count(self, text: str) -> int:
-        return sum(len(ids) for _, ids in self.pieces(text))
+        parts = self.split(text)
+        self.learn(parts)
+        memo = self.memo
+        return sum([len(memo[p]) for p in parts])
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets."""

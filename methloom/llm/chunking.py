@@ -37,10 +37,10 @@ class Cutter:
     def __init__(self, enc: Encoder, limit: int, overlap: int, least: int):
         self.enc, self.limit, self.overlap, self.least = enc, limit, overlap, least
 
-    def units(self, text: str) -> tuple[list[int], list[int], list[str]]:
+    def units(self, pieces: list[tuple[str, tuple[int, ...]]]) -> tuple[list[int], list[int], list[str]]:
         """Character and token offsets of the places where a cut is possible at all, and the texts between."""
         chars, toks, parts = [0], [0], []
-        for p, ids in self.enc.pieces(text):
+        for p, ids in pieces:
             if len(ids) <= 16:
                 chars.append(chars[-1] + len(p))
                 toks.append(toks[-1] + len(ids))
@@ -76,9 +76,12 @@ class Cutter:
 
     def cut(self, text: str) -> list[tuple[int, int, int, int]] | None:
         """(begin, start of new text, end, tokens) of each piece; None if the text is within the limit."""
-        if len(text.encode()) <= self.limit or (self.enc.count(text)) <= self.limit:
+        if 4 * len(text) <= self.limit or len(text.encode()) <= self.limit:
             return None
-        chars, toks, parts = self.units(text)
+        pieces = self.enc.pieces(text)
+        if sum(len(ids) for _, ids in pieces) <= self.limit:
+            return None
+        chars, toks, parts = self.units(pieces)
         marks, nat = self.landmarks(parts), self.naturals(text, chars)
         places = sorted(nat)
         out, at, last = [], 0, len(parts)
