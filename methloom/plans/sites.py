@@ -13,6 +13,7 @@ from methloom.operators import sites as ops
 from methloom.plans import adapter as A
 from methloom.schema import cover_c, decode_context, decode_strand
 from methloom.sources.reads import base_counts, chunked_reference
+from methloom.sources.text import bedgraph_lines, site_lines
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -129,9 +130,6 @@ def region_minmax(spark: SparkSession, d: str) -> DataFrame:
     return x.select("region_id", F.col("lo").alias("min_level"), F.col("hi").alias("max_level"), r6("sv").alias("sum_level"), (F.col("sw").cast("double") / F.col("_len")).alias("covered"))
 
 
-_WIN = "w AS (SELECT st.*, k.k * 50 AS rs, LEAST(k.k * 50 + 100, ln.length) AS re FROM st JOIN ln ON ln.chrom = st.chrom JOIN (SELECT UNNEST(RANGE(0, 100000)) AS k) k ON st.start >= k.k * 50 AND st.start < LEAST(k.k * 50 + 100, ln.length))"
-
-
 @query(
     f"""WITH {A.SITES}, {A.LENGTHS}, w AS (SELECT st.*, k * 50 AS rs, LEAST(k * 50 + 100, ln.length) AS re FROM st JOIN ln ON ln.chrom = st.chrom,
   UNNEST([start // 50, start // 50 - 1]) u(k) WHERE k >= 0 AND start < k * 50 + 100)
@@ -311,7 +309,7 @@ def sc_qc_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {A.CELLS}, {A.SITES.split('), ', 1)[1] if False else A.site_sql('st')}, {A.LENGTHS} SELECT id, CONCAT(ce.chrom, ':', CAST(ce.start - ce.start % 500 AS VARCHAR), '-', CAST(LEAST(ce.start - ce.start % 500 + 500, ln.length) AS VARCHAR)) AS region_id, {_CELL}, {_LEVEL} "
+    f"WITH {A.CELLS}, {A.site_sql('st')}, {A.LENGTHS} SELECT id, CONCAT(ce.chrom, ':', CAST(ce.start - ce.start % 500 AS VARCHAR), '-', CAST(LEAST(ce.start - ce.start % 500 + 500, ln.length) AS VARCHAR)) AS region_id, {_CELL}, {_LEVEL} "
     "FROM ce JOIN ln ON ln.chrom = ce.chrom WHERE coverage >= 1 GROUP BY 1, 2"
 )
 def sc_matrix_bins(spark: SparkSession, d: str) -> DataFrame:
@@ -358,7 +356,7 @@ def _counts(spark: SparkSession, d: str, relaxed: bool = True) -> DataFrame:
     return ops.group_counts(s, F.when(F.col("sample") < 2, 1).otherwise(2), 2, 2, relaxed)
 
 
-@query(f"WITH {A.SAMPLES}, {_GC.rsplit(',', 1)[0] if False else _GC} SELECT chrom, start, m1, c1, m2, c2, diff FROM cd WHERE n1 = 2 AND n2 = 2")
+@query(f"WITH {A.SAMPLES}, {_GC} SELECT chrom, start, m1, c1, m2, c2, diff FROM cd WHERE n1 = 2 AND n2 = 2")
 def dmr_group_counts(spark: SparkSession, d: str) -> DataFrame:
     c = _counts(spark, d, relaxed=False)
     return c.select("chrom", "start", "m1", "c1", "m2", "c2", dmr.level_difference().alias("diff"))
@@ -494,3 +492,52 @@ def head_motif_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CONCAT('chr', CAST(c AS VARCHAR)) AS chrom, COUNT(*) AS length, COUNT(CASE WHEN b = 'C' THEN 1 END) AS n_c, COUNT(CASE WHEN b = 'G' THEN 1 END) AS n_g, COUNT(CASE WHEN b IN ('C', 'G') THEN 1 END) AS n_cg FROM (SELECT c, " + A._base_sql("i", "c") + f" AS b FROM UNNEST(RANGE(0, {A.GENOME})) u(i), UNNEST(RANGE(1, 6)) v(c)) q GROUP BY c")
 def genome_base_counts(spark: SparkSession, d: str) -> DataFrame:
     return base_counts(A.genome(spark))
+
+
+# -- further statistics and sinks ------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {A.SITES}, {A.REGIONS}, wn AS (SELECT region_id, chrom, i AS bin, rs + i * 20 AS rs, rs + i * 20 + 40 AS re FROM rg, UNNEST(RANGE(0, 4)) u(i)),
+j AS (SELECT wn.region_id, wn.bin, st.* FROM st JOIN wn ON wn.chrom = st.chrom AND st.start < wn.re AND st.start + 1 > wn.rs)
+SELECT region_id, CAST(bin AS INT) AS bin, CAST(bucket AS INT) AS context, CAST(SUM(meth) AS DOUBLE) / CAST(SUM(coverage) AS DOUBLE) AS level, COUNT(*) AS n_sites FROM ({_ROLL}) q GROUP BY region_id, bin, bucket"""
+)
+def binned_stats(spark: SparkSession, d: str) -> DataFrame:
+    w = intervals.region_windows(A.regions(spark, d).select("region_id", "chrom", "rs", "re"), 4, 40, 20)
+    return regionstats.region_stats(A.sites(spark, d), w, keys=("region_id", "bin"))
+
+
+@query(f"WITH {A.SAMPLES}, {_GC} SELECT chrom, start, m1, c1, m2, c2, n1 = 2 AND n2 = 2 AS complete FROM gc")
+def dmr_relaxed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d, relaxed=True).select("chrom", "start", "m1", "c1", "m2", "c2", "complete")
+
+
+@query(
+    f"WITH {A.CELLS}, {A.REGIONS}, {_FIRST} SELECT id, CONCAT('r', CAST(k AS VARCHAR)) AS region_id, CAST(SUM(coverage) AS DOUBLE) AS value FROM pl WHERE coverage >= 1 GROUP BY 1, 2"
+)
+def sc_matrix_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return cells.cell_matrix(cells.placed_in_regions(A.cells(spark, d), A.regions(spark, d)), "coverage", "sum").select("id", "region_id", "value")
+
+
+@query(
+    f"WITH {A.SITES} SELECT CONCAT(chrom, CHR(9), CAST(start AS VARCHAR), CHR(9), CAST(start + 1 AS VARCHAR), CHR(9), PRINTF('%.6f', value), CHR(9), CAST(coverage AS VARCHAR), CHR(9), CASE strand WHEN 0 THEN '+' ELSE '-' END, CHR(9), "
+    "CASE context WHEN 1 THEN 'CG' WHEN 2 THEN 'CHG' ELSE 'CHH' END) AS value FROM st"
+)
+def view_text(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines(A.sites(spark, d), bed=True)
+
+
+@query(f"WITH {A.SITES} SELECT CONCAT(chrom, CHR(9), CAST(start AS VARCHAR), CHR(9), CAST(start + 1 AS VARCHAR), CHR(9), PRINTF('%.6f', CASE WHEN strand = 1 THEN -value ELSE value END)) AS value FROM st")
+def bedgraph_text(spark: SparkSession, d: str) -> DataFrame:
+    return bedgraph_lines(A.sites(spark, d), merge_strands=True)
+
+
+@query(
+    f"""WITH {A.SAMPLES}, {A.REGIONS}, {_bins_sql('across').replace('st.*', 'sm.*').replace('FROM st JOIN bn ON bn.chrom = st.chrom AND st.start < bn.re AND st.start + 1 > bn.rs', 'FROM sm JOIN bn ON bn.chrom = sm.chrom AND sm.start < bn.re AND sm.start + 1 > bn.rs').replace('SELECT region_id, CAST(bin', 'SELECT sample, region_id, CAST(bin').replace('GROUP BY region_id, bin', 'GROUP BY sample, region_id, bin')},
+av AS (SELECT sample, context, bin, AVG(level) AS level FROM pf WHERE sample IN ('s0', 's1') GROUP BY sample, context, bin)
+SELECT context, bin, ROUND(AVG(level), 6) AS level, COUNT(*) AS n_replicates FROM av GROUP BY context, bin"""
+)
+def profile_replicates(spark: SparkSession, d: str) -> DataFrame:
+    s, b = A.samples(spark, d), profile.profile_bins(A.regions(spark, d), "across", extend=60, step=_STEP)
+    one = lambda name: profile.profile_average(profile.profile(s.where(F.col("sample") == name), b))
+    return profile.replicate_average([one("s0"), one("s1")]).withColumn("bin", F.col("bin").cast("int")).withColumn("level", r6("level"))

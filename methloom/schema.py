@@ -84,3 +84,15 @@ def cover_c(value: Column, coverage: Column, precision: str = "double") -> Colum
 def meth_count(df: DataFrame, precision: str = "double") -> Column:
     """The methylated count: the source's own where the table has ``meth``, else reconstructed."""
     return F.col("meth").cast("long") if has(df, "meth") else cover_c(F.col("value"), F.col("coverage"), precision)
+
+
+def fixed(c: Column, decimals: int) -> Column:
+    """The number as text with so many decimals; ties go to the even digit, as C's printf rounds values that are exact ties.
+
+    Of a value whose shortest decimal form is a tie but whose binary one isn't,
+    the last digit may differ from printf's.
+    """
+    text = F.format_string(f"%.{decimals}f", F.bround(c.cast("double"), decimals))
+    # Rounding drops the sign of a negative zero.
+    unsigned = c.cast("string").startswith("-") & ~text.startswith("-")
+    return F.when(unsigned, F.concat(F.lit("-"), text)).otherwise(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methloom.core import dense_index
-from methloom.schema import CONTEXTS, decode_context
+from methloom.schema import CONTEXTS, decode_context, fixed
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -31,7 +31,7 @@ def matrix_market(cells: DataFrame, cell: str, feature: str, value: str) -> tupl
     f = dense_index(cells.select(feature).distinct(), [feature], "_g").select(F.col(feature).alias("_f"), (F.col("_g") + 1).alias("row"))
     c = dense_index(cells.select(cell).distinct(), [cell], "_g").select(F.col(cell).alias("_c"), (F.col("_g") + 1).alias("col"))
     entries = cells.join(f, cells[feature] == F.col("_f")).join(c, cells[cell] == F.col("_c"))
-    body = entries.select(F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), F.format_string("%.6f", F.col(value).cast("double"))).alias("value"), F.lit(1).alias("_o"))
+    body = entries.select(F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), fixed(F.col(value), 6)).alias("value"), F.lit(1).alias("_o"))
     counts = cells.sparkSession.range(1).select(F.lit(f.count()).alias("a"), F.lit(c.count()).alias("b"), F.lit(cells.count()).alias("n"))
     head = counts.select(F.explode(F.array(F.lit("%%MatrixMarket matrix coordinate real general"), F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"), F.col("n").cast("string")))).alias("value"), F.lit(0).alias("_o"))
     return head.unionByName(body).orderBy("_o").select("value"), f.orderBy("row").select(F.col("_f").alias("value")), c.orderBy("col").select(F.col("_c").alias("value"))
@@ -44,7 +44,7 @@ def dense_matrix(cells: DataFrame, cell: str, feature: str, value: str, features
 
 def group_lines(groups: DataFrame) -> DataFrame:
     """The groups table: group, region, cells, sites, total and mean coverage, level."""
-    return tsv(groups, *(F.col(c) for c in ("grp", "region_id", "n_cells", "n_sites", "total_coverage")), F.format_string("%.6f", "mean_coverage"), F.format_string("%.6f", "mean_meth"))
+    return tsv(groups, *(F.col(c) for c in ("grp", "region_id", "n_cells", "n_sites", "total_coverage")), fixed(F.col("mean_coverage"), 6), fixed(F.col("mean_meth"), 6))
 
 
 def profile_matrix_lines(levels: DataFrame, bins: int, context: int) -> DataFrame:
@@ -52,7 +52,7 @@ def profile_matrix_lines(levels: DataFrame, bins: int, context: int) -> DataFram
     from methloom.operators.profile import wide_matrix
 
     w = wide_matrix(levels.where(F.col("context") == context), "bin", bins)
-    return w.select(F.concat_ws("\t", "region_id", *(F.when(F.col(f"b{i}").isNull(), "nan").otherwise(F.format_string("%.4f", f"b{i}")) for i in range(bins))).alias("value"))
+    return w.select(F.concat_ws("\t", "region_id", *(F.when(F.col(f"b{i}").isNull(), "nan").otherwise(fixed(F.col(f"b{i}"), 4)) for i in range(bins))).alias("value"))
 
 
 def differential_lines(loci: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def differential_lines(loci: DataFrame) -> DataFrame:
 def region_lines(regions: DataFrame) -> DataFrame:
     """Differential regions: chrom, start, end, both levels, loci, and hyper,hypo."""
     pair = F.concat_ws(",", F.col("hyper").cast("string"), F.col("hypo").cast("string"))
-    return tsv(regions, F.col("chrom"), F.col("start"), F.col("end"), F.format_string("%.6f", "level_1"), F.format_string("%.6f", "level_2"), F.col("n_sites"), pair)
+    return tsv(regions, F.col("chrom"), F.col("start"), F.col("end"), fixed(F.col("level_1"), 6), fixed(F.col("level_2"), 6), F.col("n_sites"), pair)
 
 
 #: The context codes with a file of their own.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methloom.schema import SITE, encode_context, encode_strand
+from methloom.schema import SITE, encode_context, encode_strand, fixed
 
 FORMATS = ("methratio", "bedmethyl", "bedsimple", "bismark", "simpleme", "modkit_pileup")
 
@@ -46,7 +46,7 @@ def parse_sites(
         cols = (_at(1), _at(2, "long") + 1, _at(3, "long") + 1, v, c, _at(6), F.lit(default_context), _at(4), F.floor(v.cast("double") * c + 0.5).cast("long"))
     elif fmt == "bedsimple":
         m, c = _at(7, "long"), _at(8, "int")
-        v = F.format_string(f"%.{decimals}f", ratio(m, c)).try_cast("double")
+        v = fixed(ratio(m, c), decimals).try_cast("double")
         cols = (_at(1), _at(2, "long"), _at(3, "long"), F.when(c > 0, v), c, _at(5), _at(6), _at(4), m)
     elif fmt == "bismark":
         start, m = _at(2, "long"), _at(4, "long")
@@ -107,7 +107,7 @@ def site_lines(sites: DataFrame, bed: bool = False) -> DataFrame:
         cols.append(F.col("end").cast("string"))
     elif bed:
         cols.append((F.col("start") + 1).cast("string"))
-    cols.append(F.format_string("%.6f", F.col("value").cast("double")))
+    cols.append(fixed(F.col("value"), 6))
     if has(sites, "coverage"):
         cols.append(F.col("coverage").cast("string"))
     if has(sites, "strand"):
@@ -138,4 +138,4 @@ def bedgraph_lines(sites: DataFrame, merge_strands: bool = False) -> DataFrame:
     """chrom, start, end, level; with ``merge_strands`` levels of the - strand are negative."""
     v = F.when(F.col("strand") == 1, -F.col("value")).otherwise(F.col("value")) if merge_strands and "strand" in sites.columns else F.col("value")
     e = F.col("end") if "end" in sites.columns else F.col("start") + 1
-    return sites.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), e.cast("string"), F.format_string("%.6f", v.cast("double"))).alias("value"))
+    return sites.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), e.cast("string"), fixed(v, 6)).alias("value"))
