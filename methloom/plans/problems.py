@@ -69,10 +69,10 @@ _IDENT = "trim(lower(cell_id)) NOT IN ('', '-', 'na', 'n/a', 'nan', 'nil', 'none
 SQL = {
     "p3_found": """
 WITH r AS (
-  SELECT b.track, a.chrom, b.start_pos AS s, b.end_pos AS e FROM regions_bed b LEFT JOIN chrom_alias a ON b.chrom = a.alias_name
+  SELECT b.region_id, b.track, a.chrom, b.start_pos AS s, b.end_pos AS e FROM regions_bed b LEFT JOIN chrom_alias a ON b.chrom = a.alias_name
   WHERE b.start_pos >= 0 AND b.end_pos > b.start_pos),
-m AS (SELECT *, MAX(e) OVER (PARTITION BY track, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
-i AS (SELECT *, SUM(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END) OVER (PARTITION BY track, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+m AS (SELECT *, MAX(e) OVER (PARTITION BY track, chrom ORDER BY s, e, region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
+i AS (SELECT *, SUM(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END) OVER (PARTITION BY track, chrom ORDER BY s, e, region_id ROWS UNBOUNDED PRECEDING) AS island FROM m),
 p AS (SELECT track, chrom, island, MIN(s) AS s, MAX(e) AS e FROM i GROUP BY 1, 2, 3),
 g AS (SELECT track, chrom, e AS s, LEAD(s) OVER (PARTITION BY track, chrom ORDER BY island) AS e FROM p)
 SELECT 'merged' AS kind, track, chrom, s AS start_pos, e AS end_pos FROM p
