@@ -42,15 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``durable`` wrote in this process, once their results have been used; gives their number."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage in a way that survives the loss of executors; columnar and
-    compressed, so later steps read only the columns they use.
+    compressed, so later steps read only the columns they use. ``release`` deletes
+    the tables of a session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/methloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from methloom.core import small_side
 from methloom.operators.intervals import range_join, sliding_windows
 from methloom.schema import ALL_CONTEXTS, BOTH_STRANDS, has, meth_count
 
+#: The additive columns of a rollup.
+SUMS = ("n", "sw", "sv", "sv2", "sv1", "m", "c")
 METHODS = ("weighted", "mean", "counts", "dev", "min", "max", "cov", "sum")
 
 
@@ -35,7 +37,7 @@ def rollup(rows: DataFrame, by: list[str], precision: str = "double", context: i
     )
     buckets = F.when(F.col("_c") != 0, F.array(F.lit(0), F.col("_c"))).otherwise(F.array(F.lit(0)))
     out = part.withColumn("context", F.explode(buckets)).groupBy(*by, "context").agg(
-        *(F.sum(x).alias(x) for x in ("n", "sw", "sv", "sv2", "sv1", "m", "c")), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        *(F.sum(x).alias(x) for x in SUMS), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     return out if context >= ALL_CONTEXTS else out.where(F.col("context") == context)
 
@@ -78,21 +80,26 @@ def region_stats(
     by = list(keys)
     q = regions.select(*by, "chrom", "rs", "re", *(["strand"] if by_region_strand else []))
     j = range_join(sites, q)
-    if min_sites > 1:
-        enough = j.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_sites).drop("_k")
-        j = j.join(enough, by, "left_semi")
-    if by_region_strand:
-        j = j.where((F.col("r_strand") >= 2) | (F.col("r_strand") == F.col("strand")))
-    elif strand < BOTH_STRANDS:
-        j = j.where(F.col("strand") == strand)
-    elif strand == 3:
+    if strand == 3 and not by_region_strand:
         by = [*by, "strand"]
-    counted = has(sites, "coverage")
+    one_strand = by_region_strand or strand < BOTH_STRANDS
+    fine = [*by, *(["strand"] if one_strand else []), *(["r_strand"] if by_region_strand else [])]
     if method == "cov":
         j = j.withColumn("_len", (F.col("re") - F.col("rs")).cast("double"))
-        sums = rollup(j, [*by, "_len"], precision, context)
-        return _finish(sums, by, method, counted, F.col("_len"))
-    return _finish(rollup(j, by, precision, context), by, method, counted)
+        fine = [*fine, "_len"]
+    # Strands are told apart in the sums, so that the sites of all strands can be counted without a second join.
+    sums = rollup(j, fine, precision)
+    if min_sites > 1:
+        every = F.sum(F.when(F.col("context") == 0, F.col("n"))).over(Window.partitionBy(*keys))  # a few rows per region
+        sums = sums.withColumn("_every", every).where(F.col("_every") >= min_sites).drop("_every")
+    if one_strand:
+        own = (F.col("r_strand") >= BOTH_STRANDS) | (F.col("r_strand") == F.col("strand")) if by_region_strand else F.col("strand") == strand
+        sums = sums.where(own).groupBy(*by, "context", *(["_len"] if method == "cov" else [])).agg(
+            *(F.sum(x).alias(x) for x in SUMS), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        )
+    if context < ALL_CONTEXTS:
+        sums = sums.where(F.col("context") == context)
+    return _finish(sums, by, method, has(sites, "coverage"), F.col("_len"))
 
 
 def chrom_stats(

@@ -110,3 +110,19 @@ def test_impute_identifiers(spark):
     df = spark.createDataFrame(rows, "id int, lib string, row int, cell string")
     got = {r.id: (r.cell, r.cell_status) for r in impute_identifiers(df, "id", ["lib", "row"], "cell").collect()}
     assert got == {2: ("B", "filled"), 5: (None, "missing"), 6: (None, "missing"), 8: ("C", "filled")}
+
+
+def test_durable_tables_are_released(spark, tmp_path):
+    from methloom import core
+
+    core.release(spark)
+    t = core.durable(spark.range(5))
+    assert t.count() == 5 and core.release(spark) == 1 and core.release(spark) == 0
+
+
+def test_dense_index(spark):
+    from methloom.core import dense_index
+
+    df = spark.createDataFrame([(k % 7, k % 3) for k in range(200)], "a int, b int")
+    rows = sorted((r.g, r.a, r.b) for r in dense_index(df, ["a", "b"], "g").collect())
+    assert [g for g, *_ in rows] == list(range(200)) and [(a, b) for _, a, b in rows] == sorted((k % 7, k % 3) for k in range(200))

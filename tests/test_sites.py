@@ -55,6 +55,11 @@ def test_weighted_levels_and_rollup(spark):
     assert rows(out, "region_id", "context", "level") == [("r", 0, 0.2), ("r", 1, 0.3), ("r", 2, 0.1)]
     both = regionstats.region_stats(table(spark, [site(45, 1, 2, strand=0), site(46, 2, 2, strand=1)]), r, min_sites=2, strand=0)
     assert rows(both, "region_id", "level") == [("single", 0.5), ("single", 0.5)]
+    mixed = table(spark, [site(1, 1, 2, strand=0), site(2, 2, 2, strand=1), site(3, 0, 4, strand=1)])
+    own = table(spark, [("plus", "c", 0, 20, 0), ("minus", "c", 0, 20, 1), ("any", "c", 0, 20, 2)], REGION)
+    by_own = regionstats.region_stats(mixed, own, by_region_strand=True, min_sites=3).where("context = 0")
+    assert {(x.region_id, x.level, x.n_sites) for x in by_own.collect()} == {("plus", 0.5, 1), ("minus", 2 / 6, 2), ("any", 3 / 8, 3)}
+    assert regionstats.region_stats(mixed, own, strand=1, min_sites=4).count() == 0
     dev = regionstats.region_stats(s, r, "dev")
     assert {(x.region_id, x.context): round(x.level, 9) for x in dev.collect()}[("r", 0)] == round(float(np.std([0.3, 0.1], ddof=1)), 9)
     assert {(x.region_id, x.context): x.level for x in dev.collect()}[("single", 0)] == 0.0
