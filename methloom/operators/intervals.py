@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methloom.core import small_side
+from methloom.core import BROADCAST_ROWS, small_side
 
-#: Width of the join bins, in bases.
-BIN = 10_000
+#: Widths of join bins to choose from, in bases, and the least one where sites are wide too.
+BINS, WIDE_BIN = (64, 256, 1024, 4096, 16_384, 65_536, 1 << 20), 1024
 
 
 def overlaps(start: Column, end: Column, qs: Column, qe: Column, inclusive: bool = False) -> Column:
@@ -20,14 +20,16 @@ def _ends(sites: DataFrame) -> Column:
     return F.col("end") if "end" in sites.columns else F.col("start") + 1
 
 
-def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bin_size: int = BIN, how: str = "inner") -> DataFrame:
+def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bin_size: int | None = None, how: str = "inner") -> DataFrame:
     """All pairs of a site and a region (chrom, rs, re) of its chrom that it overlaps.
 
     Both sides are cut into bins and joined on (chrom, bin), so no pair is tested
     that shares no bin; a pair that shares several is kept in the later of the
-    two first bins only. Regions are broadcast after a count shows that they are
-    few, else both sides shuffle on the bin, which spreads a chromosome over many
-    tasks. Site columns come first; region columns that clash get ``r_`` before
+    two first bins only. ``bin_size`` defaults to the least width of BINS at which the
+    regions fill no more than four bins each on average, so that neither a bin
+    holds many short regions nor a long region many bins. Regions are broadcast
+    after the same count shows that they are few, else both sides shuffle on the
+    bin, which spreads a chromosome over many tasks. Site columns come first; region columns that clash get ``r_`` before
     their names (chrom is not repeated). Null bounds or chroms and empty regions
     match nothing. ``how`` is 'inner' or 'left_semi' (sites in any region, once).
     """
@@ -38,7 +40,15 @@ def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bi
     q = regions.where((F.col("rs").isNotNull()) & (e > F.col("rs"))).select(
         F.col("chrom").alias("_qc"), F.col("rs").cast("long").alias("_qs"), e.cast("long").alias("_qe"), *keep
     )
-    q = small_side(q).withColumn("_qb", F.explode(F.sequence(F.floor(F.col("_qs") / bin_size), F.floor((F.col("_qe") - 1) / bin_size))))
+    size = F.col("_qe") - F.col("_qs")
+    widths = dict.fromkeys((*BINS, bin_size) if bin_size else BINS)
+    fit = q.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.floor((size + b - 1) / b) + 1).alias(f"b{b}") for b in widths)).first()
+    if bin_size is None:
+        least = WIDE_BIN if wide else 0
+        bin_size = next((b for b in BINS if b >= least and (fit[f"b{b}"] or 0) <= 4 * max(fit.n, 1)), BINS[-1])
+    if (fit[f"b{bin_size}"] or 0) <= 4 * BROADCAST_ROWS:  # rows after the cut into bins
+        q = F.broadcast(q)
+    q = q.withColumn("_qb", F.explode(F.sequence(F.floor(F.col("_qs") / bin_size), F.floor((F.col("_qe") - 1) / bin_size))))
     first = F.floor(F.col("start") / bin_size)
     if wide:
         last = F.floor(F.greatest(F.col("end") - 1, F.col("start")) / bin_size)

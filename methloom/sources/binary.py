@@ -1,7 +1,7 @@
 """Binary site tables (and bigWig, bigBed) as a Python data source.
 
     spark.dataSource.register(BinarySites)
-    spark.read.format("binary_sites").option("chrom", "chr1").option("start", 0).option("end", 10_000).load("/shared/x.dm")
+    spark.read.format("binary_sites").option("chrom", "chr1").option("start", 0).option("end", 10_000).load("/shared/x.sites")
 
 The file must lie where all executors can open it. Blocks are pruned by the
 file's own index; a task reads a run of blocks.

@@ -41,7 +41,7 @@ def test_range_join_against_brute_force(spark):
     s = spark.createDataFrame(ss, "chrom string, start long, end long, k int")
     r = spark.createDataFrame(rr, "region_id string, chrom string, rs long, re long")
     want = sorted((k, n) for c, a, b, k in ss for n, d, x, y in rr if c == d and b > x and a < y and y > x)
-    for b in (7, 64, 10_000):
+    for b in (7, 64, 10_000, None):
         assert rows(intervals.range_join(s, r, bin_size=b), "k", "region_id") == sorted(want, key=repr)
         assert rows(intervals.range_join(s, r, bin_size=b, how="left_semi"), "k") == sorted({(k,) for k, _ in want}, key=repr)
     points = s.drop("end")

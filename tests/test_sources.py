@@ -258,18 +258,18 @@ def test_binary_sites(spark, tmp_path):
 
     kind = B.SITES | B.END | B.COVERAGE | B.STRAND | B.CONTEXT
     rec = lambda s, v, c, st, cx, ident=None: struct.pack("<IIfHBB", s, s + 1, v, c, st, cx) + (ident.encode() + b"\0" if ident is not None else b"")
-    binary_file(tmp_path / "a.dm", kind, [(0, 5, 8, rec(5, 0.5, 8, 0, 1) + rec(7, 0.25, 4, 1, 3), 1, 0, 0, 2), (1, 9, 10, rec(9, 1.0, 3, 2, 2), 1, 0, 0, 1)])
-    got = sorted(tuple(r) for r in B.read_binary(spark, str(tmp_path / "a.dm")).collect())
+    binary_file(tmp_path / "a.sites", kind, [(0, 5, 8, rec(5, 0.5, 8, 0, 1) + rec(7, 0.25, 4, 1, 3), 1, 0, 0, 2), (1, 9, 10, rec(9, 1.0, 3, 2, 2), 1, 0, 0, 1)])
+    got = sorted(tuple(r) for r in B.read_binary(spark, str(tmp_path / "a.sites")).collect())
     assert got == [("c1", 5, 6, 0.5, 8, 0, 1, None), ("c1", 7, 8, 0.25, 4, 1, 3, None), ("c22", 9, 10, 1.0, 3, 2, 2, None)]
-    assert [r.start for r in B.read_binary(spark, str(tmp_path / "a.dm"), chrom="c1", start=6, end=8).collect()] == [7]
-    assert B.read_binary(spark, str(tmp_path / "a.dm"), chrom="zz").count() == 0
-    binary_file(tmp_path / "b.dm", kind | B.ID, [(0, 5, 8, rec(5, 0.5, 8, 0, 1, "cellA") + rec(7, 0.25, 4, 1, 3, ""), 1, 0, 0, 2)])
-    assert sorted((r.start, r.id) for r in B.read_binary(spark, str(tmp_path / "b.dm")).collect()) == [(5, "cellA"), (7, "")]
+    assert [r.start for r in B.read_binary(spark, str(tmp_path / "a.sites"), chrom="c1", start=6, end=8).collect()] == [7]
+    assert B.read_binary(spark, str(tmp_path / "a.sites"), chrom="zz").count() == 0
+    binary_file(tmp_path / "b.sites", kind | B.ID, [(0, 5, 8, rec(5, 0.5, 8, 0, 1, "cellA") + rec(7, 0.25, 4, 1, 3, ""), 1, 0, 0, 2)])
+    assert sorted((r.start, r.id) for r in B.read_binary(spark, str(tmp_path / "b.sites")).collect()) == [(5, "cellA"), (7, "")]
     binary_file(tmp_path / "c.bw", 4, [(0, 10, 30, struct.pack("<ff", 1.5, 2.5), 3, 5, 10, 2), (1, 1, 4, struct.pack("<If", 1, 9.0), 2, 3, 0, 1)], magic=B.BIGWIG)
     assert sorted((r.chrom, r.start, r.end, r.value) for r in B.read_binary(spark, str(tmp_path / "c.bw")).collect()) == [("c1", 10, 15, 1.5), ("c1", 20, 25, 2.5), ("c22", 1, 4, 9.0)]
     binary_file(tmp_path / "d.bb", 4, [(0, 1, 9, struct.pack("<III", 0, 1, 9) + b"geneA\t0\t+\0", 1, 0, 0, 1)], magic=B.BIGBED, zipped=False)
     assert [(r.start, r.end, r.id) for r in B.read_binary(spark, str(tmp_path / "d.bb")).collect()] == [(1, 9, "geneA\t0\t+")]
-    assert [tuple(r) for r in B.chrom_table(spark, str(tmp_path / "a.dm")).collect()] == [(0, "c1", 1000), (1, "c22", 1000)]
+    assert [tuple(r) for r in B.chrom_table(spark, str(tmp_path / "a.sites")).collect()] == [(0, "c1", 1000), (1, "c22", 1000)]
     wide = B.read_binary(spark, str(tmp_path / "c.bw"), chrom="c1")
     assert sorted(r.pos for r in B.per_base(wide, 12, 22).collect()) == [12, 13, 14, 20, 21] and B.per_base(wide, 12, 22, fill=True).count() == 10
     (tmp_path / "x").write_bytes(b"\0" * 80)
