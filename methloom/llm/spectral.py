@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methloom.core import durable, ship
+from methloom.core import durable, ship, small_side
 from methloom.operators.imputation import identifier_or_null
 
 #: Cells are alike if their mean absolute difference over shared features, and that of their levels, is within this.
@@ -78,12 +78,18 @@ def _splits(cells: DataFrame) -> tuple[list[int], list[tuple[int, float]], int]:
     return sorted(r.r for r in rows), [(r, t) for _, r, t in scored[:256]], cells.count()
 
 
-def _keyed(cells: DataFrame) -> DataFrame:
-    """Adds ``vals`` (dense over the panel, NaN where not seen) and ``buckets``.
+def _keyed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells with ``vals`` (dense over the panel, NaN where not seen) and ``buckets``; the exact buckets (``cell_id``, ``b``).
 
     A bucket key of a table joins the high/low states of some features and a
     shifted bin of the level. A state that isn't known or lies close to the
-    threshold stands for both, so one cell can have several keys in a table.
+    threshold stands for both, so one cell can have several keys in a table. A
+    table with more than WILD such states isn't read for the cell: it seeks its
+    mates by the halves of the table's features, by the halves of a half that has
+    too many again, and so on, down to parts no longer than WILD, which any cell
+    can read. Of two cells that differ in no state and share the bin, one is a
+    seeker on some part both can read, unless both read the whole table. What
+    is found so is checked exactly; a seeker and its mates are one exact bucket.
     """
     panel, clear, n = _splits(cells)
     place = {r: i for i, r in enumerate(panel)}
@@ -102,6 +108,36 @@ def _keyed(cells: DataFrame) -> DataFrame:
         tables.append(pick)
     at = np.array([place[r] for r, _ in clear], int)
     cut = np.array([t for _, t in clear])
+    # The parts of each table, numbered like a heap: 1 is the table, 2 k and 2 k + 1 are the halves of k.
+    parts: dict[tuple[int, int], list[int]] = {}
+    for t, pick in enumerate(tables):
+        todo = [(1, pick)]
+        while todo:
+            k, p = todo.pop()
+            parts[t, k] = p
+            if len(p) > WILD:
+                todo += [(2 * k, p[: len(p) // 2]), (2 * k + 1, p[len(p) // 2 :])]
+
+    def states(vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = vals[:, at] if len(at) else np.empty((len(vals), 0))
+        wild = ~(np.abs(x - cut) > 0.05)
+        return wild, (x > cut) & ~wild
+
+    def bin_of(t: int, k: int, level: float) -> int:
+        return ((((k - 1) << 3) | t) << 16) | (int(math.floor(level / LEVEL_WIDTH + t / TABLES)) & 0xFFFF)
+
+    def readings(t: int, k: int, level: float, wild: np.ndarray, high: np.ndarray) -> list[int]:
+        base, free = 0, []
+        for j, c in enumerate(parts[t, k]):
+            if wild[c]:
+                free.append(1 << j)
+            elif high[c]:
+                base |= 1 << j
+        codes = [base]
+        for b in free:
+            codes += [c | b for c in codes]
+        head = bin_of(t, k, level) << 32
+        return [head | c for c in codes]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -113,34 +149,54 @@ def _keyed(cells: DataFrame) -> DataFrame:
                     count[i, place[e["r"]]] += e["n"]
             with np.errstate(invalid="ignore"):
                 vals = total / count
-            x = vals[:, at] if len(at) else np.empty((m, 0))
-            wild = ~(np.abs(x - cut) > 0.05)
-            high = (x > cut) & ~wild
+            wild, high = states(vals)
             level = df["level"].to_numpy(float)
-            out = []
+            out, sought = [], []
             for i in range(m):
                 keys: list[int] = []
-                if not np.isnan(level[i]):
-                    open_ = [int(wild[i, pick].sum()) for pick in tables]
-                    use = [t for t in range(TABLES) if open_[t] <= WILD] or [int(np.argmin(open_))]
-                    for t in use:
-                        pick = tables[t]
-                        base, free = 0, []
-                        for k, c in enumerate(pick):
-                            if wild[i, c]:
-                                free.append(1 << k)
-                            elif high[i, c]:
-                                base |= 1 << k
-                        codes = [base]
-                        for b in free[: 2 * WILD]:
-                            codes += [c | b for c in codes]
-                        lv = int(math.floor(level[i] / LEVEL_WIDTH + t / TABLES)) & 0xFFFF
-                        keys += [(((t << 16) | lv) << 32) | c for c in codes]
+                seek: list[int] = []
+                if not np.isnan(level[i]) and count[i].any():
+                    todo = [(t, 1) for t in range(TABLES)]
+                    while todo:
+                        t, k = todo.pop(0)
+                        if wild[i, parts[t, k]].sum() > WILD:
+                            todo += [(t, 2 * k), (t, 2 * k + 1)]
+                        else:
+                            (keys if k == 1 else seek).extend(readings(t, k, level[i], wild[i], high[i]))
                 out.append(keys)
-            yield pd.DataFrame({"cell_id": df["cell_id"], "level": df["level"], "vals": list(vals), "buckets": out})
+                sought.append(seek)
+            yield pd.DataFrame({"cell_id": df["cell_id"], "level": df["level"], "vals": list(vals), "buckets": out, "seek": sought})
 
     ship(cells.sparkSession)
-    return cells.mapInPandas(run, "cell_id string, level double, vals array<double>, buckets array<long>")
+    keyed = durable(cells.mapInPandas(run, "cell_id string, level double, vals array<double>, buckets array<long>, seek array<long>"))
+    seeks = keyed.select(F.col("cell_id").alias("s"), F.col("level").alias("_l"), F.explode("seek").alias("b"))
+    # The parts and bins that are sought at all: at most as many as there are parts of tables, times bins of the level.
+    asked = {r.h for r in seeks.select(F.shiftright("b", 32).alias("h")).distinct().collect()}
+    if not asked:
+        return keyed.drop("seek"), keyed.select("cell_id", F.lit(0).cast("long").alias("b")).limit(0)
+    in_use = [(t, k) for t, k in parts if k > 1 and any(h >> 16 == ((k - 1) << 3) | t for h in asked)]
+
+    def offer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            wild, high = states(np.array(df["vals"].tolist(), float).reshape(len(df), len(panel)))
+            names, level = df["cell_id"].to_numpy(), df["level"].to_numpy(float)
+            for t, k in in_use:
+                open_ = wild[:, parts[t, k]].sum(1)
+                rows: list[tuple[str, float, int]] = []
+                for i in np.flatnonzero(open_ <= WILD):
+                    if bin_of(t, k, level[i]) in asked:
+                        rows += [(names[i], level[i], b) for b in readings(t, k, level[i], wild[i], high[i])]
+                yield pd.DataFrame(rows, columns=["cell_id", "level", "b"])
+
+    offers = keyed.where("level is not null").select("cell_id", "level", "vals").mapInPandas(offer, "cell_id string, level double, b long")
+    near = (F.col("s") != F.col("cell_id")) & (F.abs(F.col("level") - F.col("_l")) <= TOLERANCE)
+    found = durable(offers.join(small_side(seeks), "b").where(near).select("s", "cell_id").distinct())
+    one = keyed.select("cell_id", "level", "vals")
+    both = found.join(one.select(F.col("cell_id").alias("s"), F.struct("level", "vals").alias("a")), "s").join(one.select("cell_id", F.struct("level", "vals").alias("b")), "cell_id")
+    mates = both.where(_alike("a", "b", TOLERANCE)).select("s", "cell_id")
+    exact = mates.unionByName(mates.select("s", F.col("s").alias("cell_id"))).distinct()
+    # Above all keys of tables.
+    return keyed.drop("seek"), exact.select("cell_id", F.xxhash64("s").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)).alias("b"))
 
 
 def _unit(*parts: Column) -> Column:
@@ -161,8 +217,8 @@ def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int | None
     A cell in no shared bucket (also: without level or features) is a group of
     its own. An empty table gives no rows.
     """
-    cells = durable(_keyed(durable(cells)))
-    z = cells.select("cell_id", F.explode("buckets").alias("b"))
+    cells, exact = _keyed(durable(cells))
+    z = cells.select("cell_id", F.explode("buckets").alias("b")).unionByName(exact)
     shared = z.groupBy("b").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
     z = durable(z.join(shared, "b").select("cell_id", "b", "w"))
     if vectors is None:
