@@ -17,8 +17,8 @@ from methloom.operators.imputation import count_or_null
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return spectral_groups(cell_table(table(spark, d, "sc_matrix"), table(spark, d, "sc_qc")))
+def _groups(spark: SparkSession, d: str, unnamed: bool = False) -> DataFrame:
+    return spectral_groups(cell_table(table(spark, d, "sc_matrix"), table(spark, d, "sc_qc"), unnamed))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return group_summary(purified(_groups(spark, d)))
+    return group_summary(purified(_groups(spark, d, unnamed=True)))
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:

@@ -30,11 +30,12 @@ PANEL = 20_000
 _GRID, _EDGE = 0.1, 0.02
 
 
-def cell_table(matrix: DataFrame, qc: DataFrame) -> DataFrame:
+def cell_table(matrix: DataFrame, qc: DataFrame, unnamed: bool = False) -> DataFrame:
     """One row per named cell: ``cell_id``, ``level`` and ``f``, its features (region, sum and number of values).
 
-    A row without identifier belongs to the cell of its (library_id, cell_row);
-    cells that no row names have no level to compare and are left out. The level
+    A row without identifier belongs to the cell of its (library_id, cell_row).
+    Cells that no row names have no level to compare; they are left out, or, with
+    ``unnamed``, kept as '(unnamed) library_id:cell_row' ('?' for a null). The level
     is the mean of the non-null QC levels, values above 1 taken as percents; null
     without QC rows. Repeated rows are averaged, null values skipped.
     """
@@ -45,7 +46,12 @@ def cell_table(matrix: DataFrame, qc: DataFrame) -> DataFrame:
     # At most one entry per region and cell from here on.
     rows = part.groupBy("library_id", "cell_row").agg(
         F.min("cell").alias("cell_id"), F.collect_list(F.when((F.col("n") > 0) & F.col("region_idx").isNotNull(), F.struct(F.col("region_idx").alias("r"), "s", "n"))).alias("f")
-    ).where("cell_id is not null")
+    )
+    if unnamed:
+        place = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("library_id", "cell_row")))
+        rows = rows.withColumn("cell_id", F.coalesce("cell_id", F.concat(F.lit("(unnamed) "), place)))
+    else:
+        rows = rows.where("cell_id is not null")
     cells = rows.groupBy("cell_id").agg(F.flatten(F.collect_list("f")).alias("f"))
     m = F.col("mean_meth")
     levels = qc.where(F.col("cell_id").isNotNull() & m.isNotNull()).groupBy("cell_id").agg(F.avg(F.when(m > 1, m / 100).otherwise(m)).alias("level"))

@@ -12,3 +12,15 @@ def test_sparse_cells_find_their_mates(spark):
     pairs = {(r.cell_id_a, r.cell_id_b) for r in cell_pairs(spectral_groups(cell_table(thin, qc))).collect()}
     expected = {(a, b) for a in true for b in true if a < b and true[a] == true[b]}
     assert pairs <= expected and len(pairs) >= 0.97 * len(expected)
+
+
+def test_groups_hold_unnamed_cells(spark, tmp_path):
+    from methloom.llm.queries import p1_groups
+
+    m, qc, true = cells_input(spark, 6)
+    m.write.parquet(f"{tmp_path}/sc_matrix.parquet")
+    qc.write.parquet(f"{tmp_path}/sc_qc.parquet")
+    rows = p1_groups(spark, str(tmp_path)).collect()
+    # Beside the named cells LONELYCELL-00 and row 9999, which no row names.
+    assert sum(r.n_cells for r in rows) == len(true) + 2
+    assert [r.n_cells for r in rows if r.typical_cells == ["(unnamed) lib:9999"]] == [1]
