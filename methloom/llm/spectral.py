@@ -294,23 +294,23 @@ def cell_pairs(groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return pairs.where(_alike("a", "b", tolerance)).select(F.col("a.cell_id").alias("cell_id_a"), F.col("b.cell_id").alias("cell_id_b"))
 
 
-def purified(groups: DataFrame, tolerance: float = TOLERANCE, rounds: int = 3) -> DataFrame:
+def purified(groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Groups whose members are all alike their most typical cell, by the exact check.
 
     Members that aren't leave the group and form the next one, under their own
-    most typical cell; who is left after ``rounds`` stands alone. One join of the
-    members with one row per group a round, no pairs.
+    most typical cell, until no member is left. One join of the members left with
+    one row per group a round, no pairs; as many rounds as the most mixed group has
+    groups in it.
     """
-    rest, done = durable(groups), []
-    for k in range(rounds):
+    rest, done, k = durable(groups), [], 0
+    while not rest.isEmpty():  # a round settles the most typical cell of each group at least
         best = rest.groupBy("grp").agg(F.max_by(F.struct("cell_id", "level", "vals"), F.struct("affinity", "cell_id")).alias("m"))
         j = rest.alias("a").join(best.select("grp", "m.*").alias("b"), "grp")
         alike = (F.col("a.cell_id") == F.col("b.cell_id")) | F.coalesce(_alike("a", "b", tolerance), F.lit(False))
         j = durable(j.select("a.cell_id", "grp", "a.affinity", "a.level", "a.vals", alike.alias("ok")))
         done.append(j.where("ok").drop("ok").withColumn("grp", F.concat(F.col("grp"), F.lit(f".{k + 1}"))))
-        rest = j.where("not ok").drop("ok")
-    done.append(rest.withColumn("grp", F.concat(F.lit("single:"), "cell_id")))
-    return reduce(DataFrame.unionByName, done)
+        rest, k = j.where("not ok").drop("ok"), k + 1
+    return reduce(DataFrame.unionByName, done, rest)
 
 
 def group_summary(groups: DataFrame, members: int = 3) -> DataFrame:

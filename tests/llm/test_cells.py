@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from test_llm import cells_input
 
-from methloom.llm.spectral import cell_pairs, cell_table, spectral_groups
+from methloom.llm.spectral import cell_pairs, cell_table, purified, spectral_groups
 
 
 def test_sparse_cells_find_their_mates(spark):
@@ -24,3 +24,13 @@ def test_groups_hold_unnamed_cells(spark, tmp_path):
     # Beside the named cells LONELYCELL-00 and row 9999, which no row names.
     assert sum(r.n_cells for r in rows) == len(true) + 2
     assert [r.n_cells for r in rows if r.typical_cells == ["(unnamed) lib:9999"]] == [1]
+
+
+def test_a_mix_of_many_groups_is_parted(spark):
+    rows = [(f"C{g}{k}", "mix", 0.5 - g / 100, 0.5, [g / 6 + k / 100] * 4) for g in range(6) for k in range(3)]
+    groups = spark.createDataFrame(rows, "cell_id string, grp string, affinity double, level double, vals array<double>")
+    members = {}
+    for r in purified(groups).collect():
+        members.setdefault(r.grp, set()).add(r.cell_id)
+    assert sorted(map(sorted, members.values())) == [[f"C{g}{k}" for k in range(3)] for g in range(6)]
+    assert purified(groups.limit(0)).collect() == []
