@@ -11,22 +11,23 @@ from methloom.llm.bpe import encode_corpus
 from methloom.llm.chunking import split_long_texts
 from methloom.llm.leakage import find_leaks, without_leaks
 from methloom.llm.percentiles import combine_states, exact_percentiles, value_states
-from methloom.llm.spectral import cell_pairs, cell_table, group_summary, purified, spectral_groups
+from methloom.llm.spectral import cell_pairs, cell_table, group_summary, groups_and_meetings, purified, spectral_groups
 from methloom.operators.imputation import count_or_null
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
-def _groups(spark: SparkSession, d: str, unnamed: bool = False) -> DataFrame:
-    return spectral_groups(cell_table(table(spark, d, "sc_matrix"), table(spark, d, "sc_qc"), unnamed))
+def _cells(spark: SparkSession, d: str, unnamed: bool = False) -> DataFrame:
+    return cell_table(table(spark, d, "sc_matrix"), table(spark, d, "sc_qc"), unnamed)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return cell_pairs(_groups(spark, d))
+    groups, meetings = groups_and_meetings(_cells(spark, d))
+    return cell_pairs(groups, meetings=meetings)
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return group_summary(purified(_groups(spark, d, unnamed=True)))
+    return group_summary(purified(spectral_groups(_cells(spark, d, unnamed=True))))
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:

@@ -210,6 +210,11 @@ def _unit(*parts: Column) -> Column:
 
 
 def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int | None = None) -> DataFrame:
+    """The groups of ``groups_and_meetings``."""
+    return groups_and_meetings(cells, rounds, vectors)[0]
+
+
+def groups_and_meetings(cells: DataFrame, rounds: int = ROUNDS, vectors: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Divide cells into groups: ``cell_id``, ``grp``, ``affinity``, ``level``, ``vals``.
 
     ``cells`` has cell_id (unique), level and f as ``cell_table`` gives them. Power
@@ -222,6 +227,10 @@ def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int | None
     nearest. ``affinity`` is the share of a cell's affinity that stays in the group.
     A cell in no shared bucket (also: without level or features) is a group of
     its own. An empty table gives no rows.
+
+    The moves between groups needn't have settled. The second table has the pairs
+    of groups ``ga`` < ``gb`` that members of one bucket ended in, so that mates
+    which the moves left apart can be compared as well.
     """
     cells, exact = _keyed(durable(cells))
     z = cells.select("cell_id", F.explode("buckets").alias("b")).unionByName(exact)
@@ -264,12 +273,17 @@ def spectral_groups(cells: DataFrame, rounds: int = ROUNDS, vectors: int | None
         stays = F.col("grp") == F.col("cur")
         per = toward.groupBy("cell_id", "cur", "grp").agg(F.sum(F.col("k") - stays.cast("int")).alias("k"))
         label = durable(per.groupBy("cell_id").agg(F.max_by("grp", F.struct("k", stays, "grp")).alias("grp"), F.max("k").alias("k")))
+    ends = z.join(label.select("cell_id", "grp"), "cell_id").select("b", "grp").distinct()
+    mixed = ends.groupBy("b").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("b")
+    ends = ends.join(mixed, "b")
+    meetings = ends.withColumnRenamed("grp", "ga").join(ends.withColumnRenamed("grp", "gb"), "b").where("ga < gb").select("ga", "gb").distinct()
     degree = z.groupBy("cell_id").agg(F.sum(F.col("w") - 1).alias("w"))
     affinity = degree.join(label, "cell_id").select("cell_id", "grp", (F.col("k") / F.col("w")).alias("affinity"))
-    return (
+    groups = (
         cells.drop("buckets").join(affinity, "cell_id", "left")
         .select("cell_id", F.coalesce("grp", F.concat(F.lit("single:"), "cell_id")).alias("grp"), F.coalesce("affinity", F.lit(0.0)).alias("affinity"), "level", "vals")
     )
+    return groups, meetings
 
 
 def _product(rows: Column, side: Column) -> Column:
@@ -283,15 +297,20 @@ def _alike(a: str, b: str, tolerance: float) -> Column:
     return (F.abs(F.col(f"{a}.level") - F.col(f"{b}.level")) <= tolerance) & (mean <= tolerance)
 
 
-def cell_pairs(groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """The pairs a < b of one group that an exact check of both differences confirms.
+def cell_pairs(groups: DataFrame, tolerance: float = TOLERANCE, meetings: DataFrame | None = None) -> DataFrame:
+    """The pairs a < b of one group, or of two groups of ``meetings``, that an exact check of both differences confirms.
 
     Groups are joined by their name with a range of levels, not crossed; the result has as
     many rows as there are such pairs, which is what is asked for.
     """
-    g = durable(groups.where("level is not null").where(F.col("affinity") > 0).select("cell_id", "grp", "level", "vals"))
-    pairs = g.alias("a").join(g.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.cell_id") < F.col("b.cell_id")))
-    return pairs.where(_alike("a", "b", tolerance)).select(F.col("a.cell_id").alias("cell_id_a"), F.col("b.cell_id").alias("cell_id_b"))
+    g = durable(groups.where("level is not null").select("cell_id", "grp", "affinity", "level", "vals"))
+    named = [F.col("a.cell_id").alias("cell_id_a"), F.col("b.cell_id").alias("cell_id_b")]
+    own = g.where(F.col("affinity") > 0)
+    pairs = own.alias("a").join(own.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.cell_id") < F.col("b.cell_id"))).where(_alike("a", "b", tolerance)).select(*named)
+    if meetings is None:
+        return pairs
+    across = meetings.join(g.alias("a"), F.col("ga") == F.col("a.grp")).join(g.alias("b"), F.col("gb") == F.col("b.grp")).where(_alike("a", "b", tolerance)).select(*named)
+    return pairs.unionByName(across.select(F.least(*across.columns).alias("cell_id_a"), F.greatest(*across.columns).alias("cell_id_b")))
 
 
 def purified(groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -34,3 +34,17 @@ def test_a_mix_of_many_groups_is_parted(spark):
         members.setdefault(r.grp, set()).add(r.cell_id)
     assert sorted(map(sorted, members.values())) == [[f"C{g}{k}" for k in range(3)] for g in range(6)]
     assert purified(groups.limit(0)).collect() == []
+
+
+def test_mates_left_under_different_labels_are_compared(spark, tmp_path):
+    from methloom.llm.queries import p1_found
+
+    m, qc, true = cells_input(spark)
+    m.where(F.abs(F.xxhash64("cell_row", "region_idx") % 10) >= 4).write.parquet(f"{tmp_path}/sc_matrix.parquet")
+    qc.write.parquet(f"{tmp_path}/sc_qc.parquet")
+    rows = [tuple(r) for r in p1_found(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == sorted((a, b) for a in true for b in true if a < b and true[a] == true[b])
+    # No move at all: every pair across two labels that meet.
+    g = spark.createDataFrame([("a", "y", 0.0, 0.5, [0.5]), ("b", "x", 0.0, 0.5, [0.5]), ("c", "x", 0.0, 0.9, [0.5])], "cell_id string, grp string, affinity double, level double, vals array<double>")
+    meet = spark.createDataFrame([("x", "y")], "ga string, gb string")
+    assert [tuple(r) for r in cell_pairs(g, meetings=meet).collect()] == [("a", "b")]
