@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from methloom.core import table
 from methloom.operators.balanced import balanced_aggregate, heavy_keys
-from methloom.operators.imputation import FILLED, count_or_null, impute_counts, impute_identifiers, with_fills
+from methloom.operators.imputation import FILLED, count_or_null, identifier_or_null, impute_counts, impute_identifiers, with_fills
 from methloom.operators.periods import canonical_names, periods_and_gaps
 
 
@@ -62,7 +62,11 @@ def p5_sites_filled(spark: SparkSession, d: str) -> DataFrame:
     return with_fills(t, _site_fills(spark, d), "row_id", {"meth": count_or_null("meth"), "total": count_or_null("total")})
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_chrom_sums, p4_cell_sums, p5_found, p5_sites_filled)}
+def p5_cells_filled(spark: SparkSession, d: str) -> DataFrame:
+    return with_fills(table(spark, d, "sc_matrix"), _cell_fills(spark, d), "row_id", {"cell_id": identifier_or_null("cell_id")})
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_chrom_sums, p4_cell_sums, p5_found, p5_sites_filled, p5_cells_filled)}
 
 _IDENT = "trim(lower(cell_id)) NOT IN ('', '-', 'na', 'n/a', 'nan', 'nil', 'none', 'null', 'unknown', 'undefined', 'missing', 'not available', '?', '.', '--', '#n/a', '<na>', '(none)', '(null)')"
 
