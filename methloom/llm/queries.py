@@ -91,7 +91,17 @@ def p2_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return exact_percentiles(single.unionByName(whole), ["run_day", "context"], PROBS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_percentiles, p2_day_percentiles, p2_sample_medians, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
+def p2_day_chrom_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of total per chrom and context, of each run day and, combined from the days' states, of all days ('(all)')."""
+    t = table(spark, d, "site_proportions")
+    name = F.col("site_name")
+    by = {"run_day": F.date_format("run_at", "yyyy-MM-dd"), "chrom": clean_chrom(F.col("chrom"), name), "context": clean_context(F.col("context"), name)}
+    single = durable(value_states(t, by, count_or_null("total")))
+    whole = combine_states(single, ["chrom", "context"]).withColumn("run_day", F.lit("(all)"))
+    return exact_percentiles(single.unionByName(whole), ["run_day", "chrom", "context"], PROBS)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_percentiles, p2_day_percentiles, p2_day_chrom_percentiles, p2_sample_medians, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
 
 _TOTALS = """
 WITH q AS (SELECT sample_id, STRFTIME(run_at, '%Y-%m-%d') AS run_day, COALESCE(CASE WHEN TRIM(chrom) <> '' THEN chrom END, SPLIT_PART(site_name, ':', 1)) AS chrom,
@@ -116,6 +126,9 @@ u AS (SELECT sample_id, chrom, context, v FROM q UNION ALL SELECT '(all)', chrom
     "p2_day_percentiles": f"""{_TOTALS},
 u AS (SELECT run_day, context, v FROM q UNION ALL SELECT '(all)', context, v FROM q),
 {_percentiles_sql("run_day, context")}""",
+    "p2_day_chrom_percentiles": f"""{_TOTALS},
+u AS (SELECT run_day, chrom, context, v FROM q UNION ALL SELECT '(all)', chrom, context, v FROM q),
+{_percentiles_sql("run_day, chrom, context")}""",
     "p2_sample_medians": f"""{_TOTALS}
 SELECT sample_id, context, CAST(0.5 AS DOUBLE) AS prob, COUNT(*) AS n, QUANTILE_CONT(v, 0.5) AS value, CAST(0 AS DOUBLE) AS max_error FROM q GROUP BY sample_id, context""",
 }
