@@ -28,6 +28,10 @@ ITEMS_PER_PASS = 20_000
 _INLINE = "a|abbr|b|bdi|bdo|big|cite|code|dfn|em|font|i|ins|del|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr"
 _INLINE_TAG = regex.compile(rf"</?(?:{_INLINE})(?:\s[^<>]*)?/?>", regex.I)
 _TAG = regex.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
+#: The same with nothing but name=value after the name: words between "<" and a ">" further on may be text.
+_VALUES = r"""(?:\s+[^\s<>"'/=]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s<>"']+))*+\s*"""
+_SURE_INLINE_TAG = regex.compile(rf"</?(?:{_INLINE}){_VALUES}/?>", regex.I)
+_SURE_TAG = regex.compile(rf"</?[A-Za-z][A-Za-z0-9]*{_VALUES}/?>")
 _COMMENT = regex.compile(r"<!--|-->")
 _BBCODE = regex.compile(r"\[/?(?:b|i|u|s|quote|code|color|url|size|list|\*)(?:=[^\]]*)?\]", regex.I)
 _LINK = regex.compile(r"\]\([^()\s]*\)")
@@ -78,7 +82,16 @@ def _plain(word: str) -> str:
     return as_latin if not _NOT_LATIN.search(as_latin) else word
 
 
-def words(text: str | None) -> list[str]:
+def readings(text: str | None) -> list[list[str]]:
+    """The text's words with all that may be a tag left out and, where it differs, with only what must be one left out."""
+    loose = words(text)
+    if not text or ">" not in text and "&" not in text and "\\" not in text and "%" not in text:
+        return [loose]
+    sure = words(text, sure_tags=True)
+    return [loose] if sure == loose else [loose, sure]
+
+
+def words(text: str | None, sure_tags: bool = False) -> list[str]:
     """The text's words as the comparison sees them.
 
     Case, marks, punctuation, line breaks, quote and comment signs, tags, escapes
@@ -96,7 +109,8 @@ def words(text: str | None) -> list[str]:
             break
         text = plain
     if "<" in text:
-        text = _TAG.sub(" ", _INLINE_TAG.sub("", _COMMENT.sub(" ", text)))
+        inline, tag = (_SURE_INLINE_TAG, _SURE_TAG) if sure_tags else (_INLINE_TAG, _TAG)
+        text = tag.sub(" ", inline.sub("", _COMMENT.sub(" ", text)))
     if "[" in text:
         text = _LINK.sub(" ", _BBCODE.sub("", text))
     if not text.isascii():
@@ -249,13 +263,13 @@ def find_leaks(
             for batch in batches:
                 schema_id = batch.column(0).type
                 for name, text in zip(batch.column(0), batch.column(1)):
-                    ws = words(text.as_py())
-                    if len(ws) < tests.seed:
-                        continue
-                    ids.append(name)
-                    starts.append(len(shard))
-                    shard += [tests.vocab.get(w, 0) for w in ws]
-                    shard.append(0)
+                    for ws in readings(text.as_py()):
+                        if len(ws) < tests.seed:
+                            continue
+                        ids.append(name)
+                        starts.append(len(shard))
+                        shard += [tests.vocab.get(w, 0) for w in ws]
+                        shard.append(0)
                     if len(shard) >= shard_words:
                         yield flush()
             if ids:
