@@ -7,11 +7,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A dimension table up to this many rows may be broadcast.
-BROADCAST_ROWS = 50_000
+#: A dimension table up to this many rows and bytes may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
+#: Bytes of a row that a task's share of a shuffle is reckoned with.
+TASK_BYTES = 128 << 20
 
 
 _shipped: set[str] = set()
@@ -35,10 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one serves a local master only; on a cluster
+    each executor would write to its own disk, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="methloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="methloom-"))
     return sc.getCheckpointDir()
 
 
@@ -68,9 +77,33 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count shows at most ``max_rows`` rows; else leave the join to Catalyst."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """A row's size as a join holds it: 16 bytes a column, and the length of texts, binaries and collections."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return size.cast("long")
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if at most ``max_rows`` rows of together at most ``max_bytes`` are seen; else leave the join to Catalyst."""
+    seen = df.select(row_bytes(df).alias("b")).limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if seen.n <= max_rows and (seen.b or 0) <= max_bytes else df
+
+
+def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Partitions for a shuffle of all of ``df``: by its size as the optimizer knows it, not less than the session's parallelism.
+
+    The estimate of a scan is the size of its files, which are compressed; the
+    estimate of other plans is rather too great. 20,000 at most.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, -(-4 * size // task_bytes)))
 
 
 def dense_index(df: DataFrame, order: list, name: str = "_g") -> DataFrame:

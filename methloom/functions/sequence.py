@@ -56,11 +56,16 @@ def level_category(level: Column) -> Column:
     return out.otherwise("U")
 
 
+def true_share(g: Column, a: Column, evidence: int = 20) -> Column:
+    """Share of true bases among the other class's, g / (g + a); null unless more than ``evidence`` were seen and some are true."""
+    return F.when((g + a > evidence) & (g > 0), g.cast("double") / (g + a).cast("double"))
+
+
 def corrected_level(c: Column, t: Column, g: Column, a: Column, evidence: int = 20) -> Column:
-    """C / (C + T), where more than ``evidence`` opposite-strand bases allow it divided by G / (G + A), 1 at most."""
-    plain = c.cast("double") / F.when(c + t > 0, (c + t).cast("double"))
-    rate = g.cast("double") / F.when(g + a > 0, (g + a).cast("double"))
-    return F.when((g + a > evidence) & (g > 0) & plain.isNotNull(), F.least(plain / rate, F.lit(1.0))).otherwise(plain)
+    """C / (C + T), where ``true_share`` is known divided by it, 1 at most; null without coverage."""
+    cover = F.when(c + t > 0, (c + t).cast("double"))
+    plain = c.cast("double") / cover
+    return F.coalesce(F.least(c.cast("double") / (cover * true_share(g, a, evidence)), F.when(plain.isNotNull() & true_share(g, a, evidence).isNotNull(), F.lit(1.0))), plain)
 
 
 def clean_attribute(c: Column) -> Column:

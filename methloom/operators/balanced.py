@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from methloom.core import partitions_for
+
 #: How each aggregate is split: partial over a range, then over the partial states.
 _MERGE = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
 
@@ -24,9 +26,9 @@ def balanced_aggregate(
     max, avg; count with column None counts rows. Null keys form one result row;
     null values are skipped, a key with no value gives null (count: 0). Ties and
     repeated rows in ``order`` are harmless. An empty table gives no rows.
-    ``partitions`` defaults to spark.sql.shuffle.partitions.
+    ``partitions`` defaults to what the size of the input asks for (``partitions_for``).
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(df)
     cols: dict[str, Column] = {}
     partial: list[Column] = []
     final: list[Column] = []

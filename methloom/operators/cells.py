@@ -27,9 +27,8 @@ def cell_qc(sites: DataFrame, context: int | None = None, min_coverage: int = 1)
 
 
 def placed_in_regions(sites: DataFrame, regions: DataFrame, order: str = "region_idx") -> DataFrame:
-    """Sites with the first region, in the order of ``order``, that holds them."""
-    key = [c for c in ("chrom", "start", "id") if c in sites.columns]
-    return first_match(sites.drop("end"), regions.select("chrom", "rs", "re", order, *(["region_id"] if "region_id" in regions.columns else [])), order, key)
+    """Sites with the first region, in the order of ``order``, that holds their position; repeated rows are kept."""
+    return first_match(sites.drop("end"), regions.select("chrom", "rs", "re", order, *(["region_id"] if "region_id" in regions.columns else [])), order)
 
 
 def placed_in_bins(sites: DataFrame, lengths: DataFrame, size: int) -> DataFrame:

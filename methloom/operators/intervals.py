@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methloom.core import BROADCAST_ROWS, small_side
+from methloom.core import BROADCAST_BYTES, BROADCAST_ROWS, row_bytes, small_side
 
 #: Widths of join bins to choose from, in bases, and the least one where sites are wide too.
 BINS, WIDE_BIN = (64, 256, 1024, 4096, 16_384, 65_536, 1 << 20), 1024
@@ -20,7 +20,7 @@ def _ends(sites: DataFrame) -> Column:
     return F.col("end") if "end" in sites.columns else F.col("start") + 1
 
 
-def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bin_size: int | None = None, how: str = "inner") -> DataFrame:
+def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bin_size: int | None = None, how: str = "inner", same_strand: bool = False) -> DataFrame:
     """All pairs of a site and a region (chrom, rs, re) of its chrom that it overlaps.
 
     Both sides are cut into bins and joined on (chrom, bin), so no pair is tested
@@ -32,21 +32,24 @@ def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bi
     bin, which spreads a chromosome over many tasks. Site columns come first; region columns that clash get ``r_`` before
     their names (chrom is not repeated). Null bounds or chroms and empty regions
     match nothing. ``how`` is 'inner' or 'left_semi' (sites in any region, once).
+    With ``same_strand`` a region of strand 0 or 1 takes sites of its strand only; a
+    region of any other strand (also null) takes all.
     """
     wide = "end" in sites.columns
     e = F.col("re") + (1 if inclusive else 0)
-    taken = set(sites.columns) | {"_b", "_qs", "_qe"}
+    taken = set(sites.columns) | {"_b", "_qs", "_qe", "_qb", "_qc", "_qst", "_id"}
     keep = [F.col(c).alias(c if c not in taken else f"r_{c}") for c in regions.columns if c != "chrom"] if how == "inner" else []
     q = regions.where((F.col("rs").isNotNull()) & (e > F.col("rs"))).select(
-        F.col("chrom").alias("_qc"), F.col("rs").cast("long").alias("_qs"), e.cast("long").alias("_qe"), *keep
+        F.col("chrom").alias("_qc"), F.col("rs").cast("long").alias("_qs"), e.cast("long").alias("_qe"), *([F.col("strand").alias("_qst")] if same_strand else []), *keep
     )
     size = F.col("_qe") - F.col("_qs")
     widths = dict.fromkeys((*BINS, bin_size) if bin_size else BINS)
-    fit = q.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.floor((size + b - 1) / b) + 1).alias(f"b{b}") for b in widths)).first()
+    fit = q.agg(F.count(F.lit(1)).alias("n"), F.avg(row_bytes(q)).alias("bytes"), *(F.sum(F.floor((size + b - 1) / b) + 1).alias(f"b{b}") for b in widths)).first()
     if bin_size is None:
         least = WIDE_BIN if wide else 0
         bin_size = next((b for b in BINS if b >= least and (fit[f"b{b}"] or 0) <= 4 * max(fit.n, 1)), BINS[-1])
-    if (fit[f"b{bin_size}"] or 0) <= 4 * BROADCAST_ROWS:  # rows after the cut into bins
+    cut = fit[f"b{bin_size}"] or 0  # rows after the cut into bins
+    if cut <= 4 * BROADCAST_ROWS and cut * (fit.bytes or 0) <= BROADCAST_BYTES:
         q = F.broadcast(q)
     q = q.withColumn("_qb", F.explode(F.sequence(F.floor(F.col("_qs") / bin_size), F.floor((F.col("_qe") - 1) / bin_size))))
     first = F.floor(F.col("start") / bin_size)
@@ -56,6 +59,8 @@ def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bi
     else:
         s = sites.withColumn("_b", first)
     cond = (F.col("chrom") == F.col("_qc")) & (F.col("_b") == F.col("_qb")) & overlaps(F.col("start"), _ends(sites), F.col("_qs"), F.col("_qe"))
+    if same_strand:
+        cond = cond & (F.coalesce(F.col("_qst"), F.lit(2)) > 1) | cond & (F.col("strand") == F.col("_qst"))
     if wide:
         cond = cond & (F.col("_b") == F.greatest(first, F.floor(F.col("_qs") / bin_size)))
     if how == "left_semi":
@@ -64,19 +69,25 @@ def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bi
             return hit
         # A wide site can be hit in several bins; its number makes it one row again.
         return hit.groupBy("_id").agg(F.first(F.struct(*sites.columns)).alias("_r")).select("_r.*")
-    return s.join(q, cond).drop("_b", "_qb", "_qc", "_qs", "_qe", "_id")
+    return s.join(q, cond).drop("_b", "_qb", "_qc", "_qs", "_qe", "_qst", "_id")
 
 
-def first_match(sites: DataFrame, regions: DataFrame, order: str, key: list[str], inclusive: bool = False) -> DataFrame:
-    """Each site with the first region (least ``order``) that it overlaps; sites in none are dropped.
+def first_match(sites: DataFrame, regions: DataFrame, order: str, inclusive: bool = False) -> DataFrame:
+    """Each site with the first region (least ``order``) that it overlaps; sites in none are dropped, repeated rows all stay.
 
-    ``key`` names a site's identity. The least region per site is an aggregate,
-    so it is pre-reduced before the shuffle.
+    The regions of a place don't depend on the row, so each distinct place
+    (chrom, start and, where there is one, end) is matched once, the least region
+    being an aggregate that is reduced before the shuffle; the rows then look up
+    their place. Equal orders: the region of the least values.
     """
-    pairs = range_join(sites, regions, inclusive)
-    cols = [c for c in pairs.columns if c not in key]
-    best = pairs.groupBy(*key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_m"))
-    return best.select(*key, "_m.*")
+    where = [c for c in ("chrom", "start", "end") if c in sites.columns]
+    pairs = range_join(sites.select(*where).distinct(), regions, inclusive)
+    cols = [c for c in pairs.columns if c not in where]
+    best = pairs.groupBy(*(F.col(c).alias(f"_m_{c}") for c in where)).agg(F.min_by(F.struct(*cols), F.struct(F.col(order), *(c for c in cols if c != order))).alias("_m"))
+    taken = set(sites.columns)
+    named = [F.col(f"_m.{c}").alias(c if c not in taken else f"r_{c}") for c in cols]
+    joined = sites.join(best, [sites[c] == F.col(f"_m_{c}") for c in where])
+    return joined.select(*(F.col(f"`{c}`") for c in sites.columns), *named)
 
 
 def fixed_bins(sites: DataFrame, lengths: DataFrame, size: int) -> DataFrame:

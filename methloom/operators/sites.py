@@ -19,8 +19,8 @@ def view(
 
     Coverage counts only where the table has it; contexts 0 and above 3 mean all,
     strand 2 means both. The predicates on chrom, start and coverage reach the
-    Parquet scan. A row in several regions is given once. With
-    ``use_region_strand`` a region's strand (0 or 1) must be the site's.
+    Parquet scan. A row in several regions is given once, repeated rows as often
+    as they come. With ``use_region_strand`` a region's strand (0 or 1) must be the site's.
     """
     out = sites
     if chrom is not None:
@@ -33,13 +33,8 @@ def view(
         out = out.where(F.col("context") == context)
     if regions is None:
         return out
-    if not use_region_strand:
-        return range_join(out, regions.select("chrom", "rs", "re"), inclusive=True, how="left_semi")
-    any_strand = regions.where(F.coalesce(F.col("strand"), F.lit(2)) >= 2).select("chrom", "rs", "re")
-    parts = [range_join(out, any_strand, inclusive=True, how="left_semi")]
-    for s in (0, 1):
-        parts.append(range_join(out.where(F.col("strand") == s), regions.where(F.col("strand") == s).select("chrom", "rs", "re"), inclusive=True, how="left_semi"))
-    return reduce(DataFrame.unionByName, parts).dropDuplicates()
+    columns = ["chrom", "rs", "re", *(["strand"] if use_region_strand else [])]
+    return range_join(out, regions.select(*columns), inclusive=True, how="left_semi", same_strand=use_region_strand)
 
 
 def cell_rows(sites: DataFrame, context: int | None = None, min_coverage: int = 1) -> DataFrame:
@@ -163,6 +158,17 @@ def overlap_two(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(b.select("chrom", "start", F.col("value").alias("value_2"), F.col("coverage").alias("coverage_2")), ["chrom", "start"])
 
 
+def overlap_in_regions(tables: list[DataFrame], regions: DataFrame, strand: int = BOTH_STRANDS, use_region_strand: bool = True) -> DataFrame:
+    """``overlap_two`` of two tables or ``overlap_many`` of more, within regions (end base included).
+
+    Here a region's strand counts: 0 or 1 takes sites of that strand. ``strand``
+    keeps one strand of the sites. Each table is cut to the regions before the
+    positions are brought together, by a semi-join each.
+    """
+    cut = [view(t, regions=regions, strand=strand, use_region_strand=use_region_strand, max_cover=(1 << 31) - 1) for t in tables]
+    return overlap_two(*cut) if len(cut) == 2 else overlap_many(numbered(cut), len(cut))
+
+
 def overlap_many(samples: DataFrame, n: int) -> DataFrame:
     """Positions that all ``n`` samples have: ``counts``, an array of (m, coverage) in sample order.
 

@@ -238,7 +238,7 @@ def merge_mean(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {A.SITES}, {A.REGIONS}, {_J}, f AS (SELECT j.chrom, j.start, MIN(CAST(SUBSTRING(region_id, 2) AS INT)) AS region_idx FROM j GROUP BY j.chrom, j.start) SELECT chrom, start, region_idx FROM f"
 )
 def first_region(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.first_match(A.sites(spark, d), A.regions(spark, d).select("chrom", "rs", "re", "region_idx"), "region_idx", ["chrom", "start"]).select("chrom", "start", "region_idx")
+    return intervals.first_match(A.sites(spark, d), A.regions(spark, d).select("chrom", "rs", "re", "region_idx"), "region_idx").select("chrom", "start", "region_idx")
 
 
 # -- profiles ------------------------------------------------------------------------------------------------------------
@@ -459,39 +459,145 @@ def pca_rows(spark: SparkSession, d: str) -> DataFrame:
 # -- reads ---------------------------------------------------------------------------------------------------------------
 
 
+_CHUNK = 500
+
+
+def _genome(spark: SparkSession, d: str) -> DataFrame:
+    return chunked_reference(A.genome(spark, d), _CHUNK)
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return readops.pieces_from_reads(A.reads(spark, d), _genome(spark, d), proper_pairs=False, chunk=_CHUNK)
+
+
 def _bases(spark: SparkSession, d: str) -> DataFrame:
-    return readops.bases_from_reads(A.reads(spark, d), chunked_reference(A.genome(spark), 500), proper_pairs=False, chunk=500)
+    return readops.read_bases(_pieces(spark, d))
+
+
+@query(f"WITH {A.SITES_FROM_READS} SELECT chrom, start, strand, context, meth, CAST(cov AS INT) AS coverage, ROUND(level, 6) AS value FROM sx")
+def pileup_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Sites from reads with clips, insertions, deletions, mates that overlap, mismatches, low qualities and marked duplicates."""
+    return readops.emit_sites(readops.pileup(_pieces(spark, d))).select("chrom", "start", "strand", "context", "meth", "coverage", r6("value").alias("value"))
 
 
 @query(
-    f"WITH {A.BASES} SELECT chrom, start, strand, context, COUNT(CASE WHEN NOT conv THEN 1 END) AS meth, CAST(COUNT(*) AS INT) AS coverage, "
-    "CAST(COUNT(CASE WHEN NOT conv THEN 1 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS value FROM cx GROUP BY chrom, start, strand, context HAVING COUNT(*) BETWEEN 4 AND 1000"
+    f"WITH {A.SITES_FROM_READS} SELECT chrom, start, strand, context, meth, CAST(cov AS INT) AS coverage, ROUND(level, 6) AS value, ROUND(eff, 6) AS eff_ct, rev_g, rev_ga, "
+    "CASE WHEN level >= 0.8 THEN 'M' WHEN level >= 0.6 THEN 'Mh' WHEN level >= 0.4 THEN 'H' WHEN level >= 0.2 THEN 'hU' ELSE 'U' END AS category, fivemer, "
+    "CASE WHEN SUBSTRING(fivemer, 2, 3) IN ('ACG', 'TCG') THEN 'WCG' WHEN SUBSTRING(fivemer, 2, 3) IN ('GCA', 'GCT', 'GCC') THEN 'GCH' END AS nome FROM sx WHERE rev_ga > 20 AND rev_g < rev_ga"
 )
-def pileup_sites(spark: SparkSession, d: str) -> DataFrame:
-    return readops.emit_sites(readops.pileup(_bases(spark, d))).select("chrom", "start", "strand", "context", "meth", "coverage", "value")
+def pileup_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The whole ratio report of the sites whose reads of the other class show a variant."""
+    s = readops.emit_sites(readops.pileup(_pieces(spark, d)), nome=True).where((F.col("rev_ga") > 20) & (F.col("rev_g") < F.col("rev_ga")))
+    return s.select("chrom", "start", "strand", "context", "meth", "coverage", r6("value").alias("value"), r6("eff_ct").alias("eff_ct"), "rev_g", "rev_ga", "category", "fivemer", "nome")
 
 
-@query(f"WITH {A.BASES} SELECT context, COUNT(CASE WHEN NOT conv THEN 1 END) AS methylated, COUNT(CASE WHEN conv THEN 1 END) AS unmethylated FROM cx WHERE context IS NOT NULL GROUP BY context")
+@query(f"WITH {A.READS} SELECT context, COUNT(CASE WHEN is_m THEN 1 END) AS methylated, COUNT(CASE WHEN NOT is_m THEN 1 END) AS unmethylated FROM cx WHERE context IS NOT NULL GROUP BY context")
 def read_context_totals(spark: SparkSession, d: str) -> DataFrame:
     return readops.context_totals(_bases(spark, d))
 
 
 @query(
-    f"WITH {A.BASES}, q AS (SELECT CONCAT('q', CAST(o_orderkey AS VARCHAR), '_', CAST(o_custkey AS VARCHAR)) AS qname, o_orderkey AS k FROM orders) "
-    "SELECT q.qname, COUNT(*) AS n_c, COUNT(CASE WHEN NOT conv THEN 1 END) AS m_c, COUNT(CASE WHEN context = 'CG' THEN 1 END) AS n_cg, COUNT(CASE WHEN context = 'CHH' AND NOT conv THEN 1 END) AS m_chh FROM cx JOIN q USING (k) GROUP BY q.qname"
+    f"WITH {A.READS} SELECT qname, CAST(at0 + 1 AS BIGINT) AS pos, COUNT(*) AS n_c, COUNT(CASE WHEN is_m THEN 1 END) AS m_c, COUNT(CASE WHEN context = 'CG' THEN 1 END) AS n_cg, COUNT(CASE WHEN context = 'CHG' THEN 1 END) AS n_chg, "
+    "COUNT(CASE WHEN context = 'CHH' AND is_m THEN 1 END) AS m_chh FROM cx GROUP BY qname, r, at0"
 )
 def read_tallies(spark: SparkSession, d: str) -> DataFrame:
-    return readops.read_tallies(_bases(spark, d)).select("qname", "n_c", "m_c", "n_cg", "m_chh")
+    return readops.read_tallies(_bases(spark, d)).select("qname", "pos", "n_c", "m_c", "n_cg", "n_chg", "m_chh")
+
+
+@query(
+    f"WITH {A.READS} SELECT qname, CAST(at0 + 1 AS BIGINT) AS pos, MIN(p) + 1 AS start, STRING_AGG(CASE WHEN is_m THEN l ELSE LOWER(l) END, '' ORDER BY p) AS calls FROM "
+    "(SELECT *, CASE context WHEN 'CG' THEN 'Z' WHEN 'CHG' THEN 'X' WHEN 'CHH' THEN 'H' ELSE 'U' END AS l FROM cx) q GROUP BY qname, r, at0"
+)
+def read_methyl_strings(spark: SparkSession, d: str) -> DataFrame:
+    return readops.methyl_strings(_bases(spark, d)).select("qname", "pos", "start", "calls")
+
+
+@query(
+    f"""WITH {A.READS}, mt AS (SELECT mb.*, l.k IS NOT NULL AND mb.p + 1 < l.last + 1 AS hid FROM mb JOIN ok ON ok.qname = mb.qname AND ok.r = mb.r LEFT JOIN ok l ON l.qname = mb.qname AND l.r = 0 AND mb.r = 1 AND mb.at0 > l.at0),
+ml AS (SELECT *, CASE WHEN hid THEN '=' WHEN (minus = 0 AND g = 'C' OR minus = 1 AND g = 'G') AND b = g THEN 'M' WHEN minus = 0 AND g = 'C' AND b = 'T' OR minus = 1 AND g = 'G' AND b = 'A' THEN 'U' WHEN b = g THEN '=' ELSE g END AS l,
+  CASE WHEN NOT hid AND (minus = 0 AND g = 'C' AND b = 'T' OR minus = 1 AND g = 'G' AND b = 'A') THEN g ELSE b END AS f FROM mt),
+tx AS (SELECT qname, r, minus, paired, kind, CAST(at0 + 1 AS BIGINT) AS pos, STRING_AGG(l, '' ORDER BY p) AS t, STRING_AGG(f, '' ORDER BY p) AS s FROM ml GROUP BY qname, r, minus, paired, kind, at0)
+SELECT tx.qname, tx.pos, CAST(ok.mm AS INT) AS nm, CASE kind WHEN 1 THEN 'SSS' || t WHEN 2 THEN SUBSTRING(t, 1, 10) || 'II' || SUBSTRING(t, 11) WHEN 3 THEN SUBSTRING(t, 1, 10) || 'DDD' || SUBSTRING(t, 11) ELSE t END AS md,
+  CASE kind WHEN 1 THEN 'AAA' || s WHEN 2 THEN SUBSTRING(s, 1, 10) || 'AA' || SUBSTRING(s, 11) ELSE s END AS before,
+  CASE WHEN NOT paired THEN 'CT' WHEN (minus = 0) = (tx.r = 0) THEN 'CT' ELSE 'GA' END AS yc, CASE WHEN paired THEN CASE WHEN tx.r = 0 THEN 'f' ELSE 'r' END WHEN minus = 0 THEN 'f' ELSE 'r' END AS yd FROM tx JOIN ok ON ok.qname = tx.qname AND ok.r = tx.r"""
+)
+def annotated_reads(spark: SparkSession, d: str) -> DataFrame:
+    a = readops.annotated_reads(A.reads(spark, d), _genome(spark, d), proper_pairs=False, chunk=_CHUNK)
+    return a.select("qname", "pos", "nm", "md", "before", "yc", "yd")
+
+
+_FLAGS = "CASE WHEN paired THEN CASE WHEN minus = 0 THEN CASE WHEN r = 0 THEN 99 ELSE 147 END ELSE CASE WHEN r = 0 THEN 163 ELSE 83 END END WHEN minus = 0 THEN 0 ELSE 16 END"
+
+
+@query(f"WITH {A.READS}, q AS (SELECT qname, at0, {_FLAGS} AS flag FROM rd WHERE k % 23 <> 0 AND k % 19 <> 0) SELECT qname, CAST(at0 + 1 AS BIGINT) AS pos, CAST(flag AS INT) AS flag, CASE flag WHEN 0 THEN 1 WHEN 16 THEN 4 WHEN 99 THEN 1 WHEN 163 THEN 2 WHEN 147 THEN 3 ELSE 4 END AS hit FROM q")
+def read_hits(spark: SparkSession, d: str) -> DataFrame:
+    return readops.usable_reads(A.reads(spark, d), proper_pairs=False).select("qname", "pos", "flag", "hit")
+
+
+@query(
+    f"WITH {A.READS}, q AS (SELECT qname, at0, r, c, minus, n + CASE kind WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END AS len FROM rd WHERE k % 23 <> 0 AND k % 19 <> 0) "
+    "SELECT CONCAT('chr', CAST(c AS VARCHAR)) AS rname, CAST(at0 + 1 AS BIGINT) AS pos, CAST(len AS INT) AS read_len, minus = 0 AS plus, MIN(qname) AS qname FROM q GROUP BY c, at0, len, minus"
+)
+def reads_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    u = readops.without_duplicates(readops.usable_reads(A.reads(spark, d), proper_pairs=False))
+    return u.select("rname", "pos", F.length("seq").alias("read_len"), F.col("hit").isin(1, 3).alias("plus"), "qname")
+
+
+@query(
+    f"WITH {A.READS}, q AS (SELECT *, {_FLAGS} AS flag, k % 23 <> 0 AND k % 19 <> 0 AS good FROM rd) SELECT 'Total_reads' AS name, COUNT(*) AS n FROM q UNION ALL SELECT 'Total_Mapped_Q30', COUNT(*) FROM q WHERE good "
+    "UNION ALL SELECT 'Mapped_forward', COUNT(*) FROM q WHERE good AND flag IN (0, 99, 163) UNION ALL SELECT 'Mapped_reverse', COUNT(*) FROM q WHERE good AND flag IN (16, 147, 83)"
+)
+def alignment_log(spark: SparkSession, d: str) -> DataFrame:
+    return readops.alignment_log(A.reads(spark, d), proper_pairs=False)
+
+
+@query(f"WITH {A.READS} SELECT CAST(k % 40 + 40 AS INT) AS tlen, COUNT(*) AS n FROM rd WHERE paired AND r = 0 GROUP BY k % 40")
+def insert_size_counts(spark: SparkSession, d: str) -> DataFrame:
+    return readops.insert_sizes(A.reads(spark, d)).groupBy("tlen").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def head_motif_counts(spark: SparkSession, d: str) -> DataFrame:
-    return readops.motif_counts(readops.head_motifs(A.reads(spark, d), chunked_reference(A.genome(spark), 500), proper_pairs=False, chunk=500))
+    return readops.motif_counts(readops.head_motifs(A.reads(spark, d), _genome(spark, d), proper_pairs=False, chunk=_CHUNK))
 
 
-@query("SELECT CONCAT('chr', CAST(c AS VARCHAR)) AS chrom, COUNT(*) AS length, COUNT(CASE WHEN b = 'C' THEN 1 END) AS n_c, COUNT(CASE WHEN b = 'G' THEN 1 END) AS n_g, COUNT(CASE WHEN b IN ('C', 'G') THEN 1 END) AS n_cg FROM (SELECT c, " + A._base_sql("i", "c") + f" AS b FROM UNNEST(RANGE(0, {A.GENOME})) u(i), UNNEST(RANGE(1, 6)) v(c)) q GROUP BY c")
+@query(f"WITH {A.GENOME_LENGTH} SELECT CONCAT('chr', CAST(c AS VARCHAR)) AS chrom, COUNT(*) AS length, COUNT(CASE WHEN b = 'C' THEN 1 END) AS n_c, COUNT(CASE WHEN b = 'G' THEN 1 END) AS n_g, COUNT(CASE WHEN b IN ('C', 'G') THEN 1 END) AS n_cg FROM (SELECT c, " + A._base_sql("i", "c") + " AS b FROM gn, UNNEST(RANGE(0, gl)) u(i), UNNEST(RANGE(1, 6)) v(c)) q GROUP BY c")
 def genome_base_counts(spark: SparkSession, d: str) -> DataFrame:
-    return base_counts(A.genome(spark))
+    return base_counts(A.genome(spark, d))
+
+
+@query(f"WITH {A.RAW_CELLS}, {A.REGIONS}, pl AS (SELECT rc.*, (SELECT MIN(rg.region_idx) FROM rg WHERE rg.chrom = rc.chrom AND rc.start < rg.re AND rc.start + 1 > rg.rs) AS k FROM rc) SELECT id, CONCAT('r', CAST(k AS VARCHAR)) AS region_id, COUNT(*) AS n_sites, CAST(SUM(coverage) AS BIGINT) AS total_coverage, ROUND(SUM(value * coverage) / SUM(coverage), 6) AS mean_meth FROM pl WHERE k IS NOT NULL AND coverage >= 1 GROUP BY 1, 2")
+def sc_matrix_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix over rows that repeat cell and position: none is lost."""
+    m = cells.cell_matrix(cells.placed_in_regions(A.raw_cells(spark, d), A.regions(spark, d)))
+    return m.select("id", "region_id", "n_sites", "total_coverage", r6("mean_meth").alias("mean_meth"))
+
+
+@query(f"WITH {A.RAW_CELLS}, {A.REGIONS} SELECT chrom, start, CAST(strand AS INT) AS strand, COUNT(*) AS n FROM (SELECT chrom, start, strand FROM rc WHERE EXISTS (SELECT 1 FROM rg WHERE rg.chrom = rc.chrom AND rg.rstrand = rc.strand AND rc.start < rg.re + 1 AND rc.start + 1 > rg.rs)) q GROUP BY chrom, start, strand")
+def view_region_strand_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in regions of their strand, cut to chrom, start and strand, so that many are equal: each is kept."""
+    v = ops.view(A.raw_cells(spark, d).select("chrom", "start", "strand"), regions=A.regions(spark, d), use_region_strand=True)
+    return v.groupBy("chrom", "start", F.col("strand").cast("int").alias("strand")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {A.SAMPLES}, {A.REGIONS}, iv AS (SELECT * FROM sm WHERE EXISTS (SELECT 1 FROM rg WHERE rg.chrom = sm.chrom AND rg.rstrand = sm.strand AND sm.start < rg.re + 1 AND sm.start + 1 > rg.rs)) "
+    "SELECT a.chrom, a.start, a.value AS value_1, CAST(a.coverage AS INT) AS coverage_1, b.value AS value_2, CAST(b.coverage AS INT) AS coverage_2 FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.start = b.start WHERE a.sample = 's1' AND b.sample = 's2'"
+)
+def overlap_two_regions(spark: SparkSession, d: str) -> DataFrame:
+    s = A.samples(spark, d)
+    return ops.overlap_in_regions([s.where("sample = 's1'"), s.where("sample = 's2'")], A.regions(spark, d)).select("chrom", "start", "value_1", "coverage_1", "value_2", "coverage_2")
+
+
+@query(
+    f"WITH {A.SAMPLES}, {A.REGIONS}, iv AS (SELECT * FROM sm WHERE sample <> 's3' AND EXISTS (SELECT 1 FROM rg WHERE rg.chrom = sm.chrom AND rg.rstrand = sm.strand AND sm.start < rg.re + 1 AND sm.start + 1 > rg.rs)) "
+    "SELECT chrom, start, CAST(SUM(meth) AS BIGINT) AS m, CAST(SUM(coverage) AS BIGINT) AS c FROM iv GROUP BY chrom, start HAVING COUNT(*) = 3"
+)
+def overlap_multi_regions(spark: SparkSession, d: str) -> DataFrame:
+    s = A.samples(spark, d).drop("m")
+    o = ops.overlap_in_regions([s.where(f"sample = 's{i}'").drop("sample") for i in range(3)], A.regions(spark, d))
+    total = lambda f: F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x[f].cast("long"))
+    return o.select("chrom", "start", total("m").alias("m"), total("coverage").alias("c"))
 
 
 # -- further statistics and sinks ------------------------------------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Binary site tables (and bigWig, bigBed) as a Python data source.
 
-    spark.dataSource.register(BinarySites)
-    spark.read.format("binary_sites").option("chrom", "chr1").option("start", 0).option("end", 10_000).load("/shared/x.sites")
+    read_binary(spark, "/shared/x.sites", chrom="chr1", start=0, end=10_000)
+    read_binary(spark, "/shared/x.sites").where("chrom = 'chr1' and start < 10000")
 
-The file must lie where all executors can open it. Blocks are pruned by the
+Both read the blocks of that range only. Used directly, the data source needs
+spark.sql.python.filterPushdown.enabled. The file must lie where all executors can open it. Blocks are pruned by the
 file's own index; a task reads a run of blocks.
 """
 
@@ -11,11 +12,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the file layout: magic numbers and the bits that name the columns of a record.
 BIGWIG, BIGBED, CHROM_TREE, INDEX = 0x888FFC26, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0
@@ -79,8 +80,8 @@ class Layout:
                 self._index_node(struct.unpack_from("<IIIIQ", data, i * size)[4])
 
     def overlapping(self, tid: int | None, start: int, end: int) -> list[tuple[int, int]]:
-        if tid is None:
-            return [(o, s) for *_, o, s in self.blocks]
+        if tid is None:  # any chromosome; a block that spans several may hold any position
+            return [(o, s) for ta, a, tb, b, o, s in self.blocks if ta != tb or a < end and b > start]
         return [(o, s) for ta, a, tb, b, o, s in self.blocks if (ta, a) < (tid, end) and (tb, b) > (tid, start)]
 
 
@@ -122,8 +123,13 @@ def decode(block: bytes, kind: int, magic: int) -> tuple[int, dict[str, object]]
 
 
 class Blocks(InputPartition):
-    def __init__(self, path: str, blocks: list[tuple[int, int]]):
+    """A run of blocks of one file, with what a task needs of its header."""
+
+    def __init__(self, path: str, blocks: list[tuple[int, int]], layout: Layout | None = None):
         self.path, self.blocks = path, blocks
+        if layout is not None:
+            self.names = {t: n for t, (n, _) in layout.chroms.items()}
+            self.version, self.magic, self.buffer = layout.version, layout.magic, layout.buffer
 
 
 class Reader(DataSourceReader):
@@ -133,35 +139,52 @@ class Reader(DataSourceReader):
         self.start, self.end = int(options.get("start", 0)), int(options.get("end", 1 << 32))
         self.per_task = int(options.get("blocksPerTask", 2000))
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Conditions on chrom, start and end narrow the blocks read; Spark still checks them on the rows."""
+        for f in filters:
+            column = ".".join(getattr(f, "attribute", ()))
+            value = getattr(f, "value", None)
+            if isinstance(f, EqualTo) and column == "chrom" and self.chrom is None:
+                self.chrom = value
+            elif column == "start" and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.end = min(self.end, value + isinstance(f, LessThanOrEqual))
+            elif column == "end" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.start = max(self.start, value - isinstance(f, GreaterThanOrEqual))
+            elif column == "start" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.start = max(self.start, value - 1)  # a site of at least one base ends beyond its start
+                if isinstance(f, EqualTo):
+                    self.end = min(self.end, value + 1)
+            yield f
+
     def partitions(self) -> list[Blocks]:
         out = []
         for path in self.path.split(","):
             layout = Layout(path)
             tids = [None] if self.chrom is None else [t for t, (name, _) in layout.chroms.items() if name == self.chrom]
             found = [b for t in tids for b in layout.overlapping(t, self.start, self.end)]
-            out += [Blocks(path, found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)]
+            out += [Blocks(path, found[i : i + self.per_task], layout) for i in range(0, len(found), self.per_task)]
         return out or [Blocks(self.path.split(",")[0], [])]
 
     def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
         if not partition.blocks:
             return
-        layout = Layout(partition.path)
-        names = {t: n for t, (n, _) in layout.chroms.items()}
+        names, version, magic, buffer = partition.names, partition.version, partition.magic, partition.buffer
         with open(partition.path, "rb") as f:
             for offset, size in partition.blocks:
                 f.seek(offset)
                 data = f.read(size)
-                tid, cols = decode(zlib.decompress(data) if layout.buffer else data, layout.version, layout.magic)
+                tid, cols = decode(zlib.decompress(data) if buffer else data, version, magic)
                 n = len(cols["start"])
                 if "end" not in cols:
                     cols["end"] = np.asarray(cols["start"], np.int64) + 1
-                tids = cols.pop("tid", [tid] * n)
-                cols["chrom"] = [names[t] for t in tids]
-                batch = pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type) if x.name in cols else pa.nulls(n, x.type) for x in _TYPES], schema=_TYPES)
+                tids = np.asarray(cols.pop("tid", np.full(n, tid)), np.int64)
+                keep = (np.asarray(cols["start"], np.int64) < self.end) & (np.asarray(cols["end"], np.int64) > self.start)
                 if self.chrom is not None:
-                    keep = [c == self.chrom and s < self.end and e > self.start for c, s, e in zip(cols["chrom"], np.asarray(cols["start"]).tolist(), np.asarray(cols["end"]).tolist())]
-                    batch = batch.filter(pa.array(keep))
-                yield batch
+                    keep &= np.isin(tids, [t for t, name in names.items() if name == self.chrom])
+                codes, at = np.unique(tids, return_inverse=True)
+                cols["chrom"] = pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), pa.array([names[t] for t in codes.tolist()], pa.string())).cast(pa.string())
+                batch = pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type) if x.name in cols else pa.nulls(n, x.type) for x in _TYPES], schema=_TYPES)
+                yield batch if keep.all() else batch.filter(pa.array(keep))
 
 
 class BinarySites(DataSource):
@@ -183,6 +206,7 @@ def read_binary(spark, path: str, **options):
     from methloom.core import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BinarySites)
     r = spark.read.format("binary_sites")
     for k, v in options.items():

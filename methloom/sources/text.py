@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from methloom.core import partitions_for
 from methloom.schema import SITE, encode_context, encode_strand, fixed
 
 FORMATS = ("methratio", "bedmethyl", "bedsimple", "bismark", "simpleme", "modkit_pileup")
@@ -124,7 +125,7 @@ def write_sites(sites: DataFrame, path: str, files_per_chrom: int = 1) -> None:
 
     Position ranges, not whole chromosomes, go to the tasks.
     """
-    n = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")) * files_per_chrom
+    n = partitions_for(sites) * files_per_chrom
     sites.repartitionByRange(n, "chrom", "start").sortWithinPartitions("chrom", "start").write.mode("overwrite").partitionBy("chrom").parquet(path)
 
 

@@ -130,6 +130,28 @@ def test_first_match_and_cells(spark):
     assert cells.cell_rows(s, context=0).count() == 0
 
 
+def test_repeated_rows_are_kept(spark):
+    regs = table(spark, [("A", "c", 0, 50, 0), ("B", "c", 20, 80, 1), ("any", "c", 70, 90, 2)], REGION).withColumn("region_idx", F.when(F.col("region_id") == "A", 1).otherwise(2))
+    twice = table(spark, [site(30, 0, 30), site(30, 10, 10), site(30, 10, 10), site(60, 1, 2), site(75, 1, 2)]).withColumn("id", F.lit("x"))
+    m = {r.region_id: (r.n_sites, r.total_coverage, r.mean_meth) for r in cells.cell_matrix(cells.placed_in_regions(twice, regs)).collect()}
+    assert m["A"] == (3, 50, 0.4) and sum(n for n, *_ in m.values()) == 5
+    kept = sites.view(twice.drop("id"), regions=regs, use_region_strand=True)
+    assert rows(kept, "start", "meth") == [(30, 0), (30, 10), (30, 10), (75, 1)]
+    wide = table(spark, [site(30, 1, 2, width=40), site(30, 1, 2, width=40), site(95, 1, 2)])
+    assert rows(sites.view(wide, regions=regs, use_region_strand=True), "start") == [(30,), (30,)]
+    clash = intervals.first_match(twice.withColumn("region_idx", F.lit(7)), regs.select("chrom", "rs", "re", "region_idx"), "region_idx")
+    assert {r.r_region_idx for r in clash.collect()} == {1, 2} and {r.region_idx for r in clash.collect()} == {7}
+
+
+def test_overlap_in_regions(spark):
+    regs = table(spark, [("p", "c", 0, 10, 0), ("m", "c", 20, 30, 1)], REGION)
+    one = table(spark, [site(1, 1, 2, strand=0), site(2, 1, 2, strand=1), site(25, 1, 2, strand=1), site(30, 1, 4, strand=1), site(50, 1, 2)])
+    assert rows(sites.overlap_in_regions([one, one], regs), "start") == [(1,), (25,), (30,)]
+    assert rows(sites.overlap_in_regions([one, one, one.where("start <> 25")], regs), "start") == [(1,), (30,)]
+    assert rows(sites.overlap_in_regions([one, one], regs, strand=1), "start") == [(25,), (30,)]
+    assert rows(sites.overlap_in_regions([one, one], regs, use_region_strand=False), "start") == [(1,), (2,), (25,), (30,)]
+
+
 def test_body_parts_do_not_swap(spark):
     r = table(spark, [("g", "c", 100, 200, 1)], REGION)
     s = table(spark, [site(95, 1, 1), site(150, 0, 1), site(205, 1, 2)])
