@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,14 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def written(df: DataFrame) -> str:
+    """Write ``df`` as a Parquet table in the shared folder; gives its path, which ``release`` deletes."""
+    path = f"{shared_dir(df.sparkSession)}/methloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -70,11 +80,27 @@ def durable(df: DataFrame) -> DataFrame:
     compressed, so later steps read only the columns they use. ``release`` deletes
     the tables of a session.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/methloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def table_batches(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a table of the shared folder in batches of ``rows``, read within a Python worker."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if ":" in path else (fs.LocalFileSystem(), path)
+    files = sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet"))
+    held: list[pa.RecordBatch] = []
+    for b in ds.dataset(files, filesystem=system, format="parquet").to_batches() if files else ():
+        while len(b):
+            take = b.slice(0, rows - sum(map(len, held)))
+            held.append(take)
+            b = b.slice(len(take))
+            if sum(map(len, held)) == rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def row_bytes(df: DataFrame) -> Column:

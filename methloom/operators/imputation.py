@@ -23,7 +23,9 @@ def count_or_null(column: str | Column) -> Column:
 def identifier_or_null(column: str | Column) -> Column:
     """The text if it names something, else null (blank, or a word for "none")."""
     c = F.col(f"`{column}`") if isinstance(column, str) else column
-    bare = F.lower(F.regexp_replace(c, r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""))
+    # Only a text that begins or ends with something else than a visible ASCII character needs the pattern.
+    plain = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    bare = F.lower(F.when(plain, c).otherwise(F.regexp_replace(c, r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", "")))
     return F.when(~bare.isin(*NO_IDENTIFIER), c)
 
 
