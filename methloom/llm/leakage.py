@@ -12,15 +12,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from methloom.core import ship
+from methloom.core import ship, table_batches, written
 
 #: A verbatim run of so many words is a leak.
 RUN = 16
 #: Or a stretch of so many words, of which no more than one in ONE_IN is replaced.
 STRETCH, ONE_IN = 30, 6
-#: Words of corpus text in one suffix array, and test items held by a worker at a time.
+#: Words of corpus text in one suffix array, and test items searched at a time.
 SHARD_WORDS = 1_000_000
 ITEMS_PER_PASS = 20_000
 
@@ -122,66 +121,130 @@ def words(text: str | None, sure_tags: bool = False) -> list[str]:
     return [_plain(w) for w in _WORD.findall(text)]
 
 
+class SuffixArray:
+    """The suffixes of a shard's words in order, with the length of the common beginning of any two texts.
+
+    ``text`` holds word numbers, 0 for a word in no passage and after each document;
+    a suffix ends before the next 0. Suffixes are ordered by doubling of ranks to
+    ``depth`` words, which no passage exceeds. Suffixes in runs of fewer than
+    ``least`` known words can't match and are left out.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, least: int):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (text > 0).astype(np.int8), [0]])))
+        begin, end = edge[0::2], edge[1::2]
+        long_ = end - begin >= least
+        begin, n = begin[long_], (end - begin)[long_]
+        total = int(n.sum())
+        index = np.arange(total)
+        own = np.repeat(np.cumsum(n) - n, n)
+        #: Place in ``text`` of each suffix's first word, and where its run ends, in places of ``words``.
+        self.place = index - own + np.repeat(begin, n)
+        self.words, self.end = text[self.place], own + np.repeat(n, n)
+        rank = np.unique(self.words, return_inverse=True)[1] + 1
+        h = 1
+        while h < depth and total and rank.max() < total:
+            after = np.where(index + h < self.end, rank[np.minimum(index + h, total - 1)], 0)
+            rank = np.unique(rank * np.int64(total + 1) + after, return_inverse=True)[1] + 1
+            h *= 2
+        self.order = np.argsort(rank, kind="stable")
+
+
+class Beginnings:
+    """Polynomial fingerprints of all stretches of two word arrays, to tell how far two suffixes agree."""
+
+    BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self, *arrays: np.ndarray):
+        n = max((len(a) for a in arrays), default=0) + 1
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.BASE)]), dtype=np.uint64)
+            self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.INVERSE)]), dtype=np.uint64)
+            self.sums = []
+            for a in arrays:
+                x = a.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(x * power[: len(a)], dtype=np.uint64)]))
+
+    def agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Words in which the stretches from ``a`` (first array) and ``b`` (second) agree, ``most`` at most."""
+        one, two = self.sums
+        low, high = np.zeros(len(a), np.int64), most.copy()
+        with np.errstate(over="ignore"):
+            while (open_ := low < high).any():
+                mid = np.where(open_, (low + high + 1) // 2, low)
+                same = (one[a + mid] - one[a]) * self.back[a] == (two[b + mid] - two[b]) * self.back[b]
+                low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
+        return low
+
+
 class TestSet:
-    """The test passages as word numbers, with every suffix."""
+    """Test passages as word numbers, with every suffix."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[object, str | None]], run: int, stretch: int, one_in: int):
-        self.run, self.stretch, self.one_in = run, stretch, one_in
-        #: A stretch with its replaced words holds a verbatim run of at least this length.
-        allowed = stretch // one_in
-        self.seed = max(1, min(run, -(-(stretch - allowed) // (allowed + 1))))
-        self.names = [n for n, _ in items]
-        self.vocab: dict[str, int] = {}
-        self.passages = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(p)], np.int64) for _, p in items]
-        owner, place = [], []
-        for i, p in enumerate(self.passages):
-            k = max(0, len(p) - self.seed + 1)
-            owner.append(np.full(k, i))
-            place.append(np.arange(k))
-        self.owner = np.concatenate([*owner, np.empty(0, int)]).astype(np.int64)
-        self.place = np.concatenate([*place, np.empty(0, int)]).astype(np.int64)
-        self.flat = np.concatenate([*self.passages, np.zeros(self.seed, np.int64)]).astype(np.int64)
-        self.start = np.cumsum([0, *(len(p) for p in self.passages)])[:-1].astype(np.int64)
-        self.length = np.array([len(p) for p in self.passages], np.int64)
+    def __init__(self, names: pa.Array, passages: list[list[str]], vocab: dict[str, int], run: int, stretch: int, one_in: int):
+        self.names, self.run, self.stretch, self.one_in = names, run, stretch, one_in
+        self.seed = seed_words(run, stretch, one_in)
+        numbered = [np.array([vocab[w] for w in p], np.int64) for p in passages]
+        self.length = np.array([len(p) for p in numbered], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate([*numbered, np.empty(0, np.int64)])
+        self.owner = np.repeat(np.arange(len(numbered)), self.length)
+        left = (self.start + self.length)[self.owner] - np.arange(len(self.flat))
+        #: Suffixes long enough to hold a seed, by their place in ``flat``.
+        self.suffix = np.flatnonzero(left >= self.seed)
+        self.left = left[self.suffix]
 
     def search(self, text: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, place in the document, longest verbatim run, words of the longest near stretch) of each leak.
 
-        ``text`` holds the shard's word numbers, 0 for words in no passage and a 0 after each document.
+        Every test suffix is sought in the shard's suffix array by binary search,
+        which gives its longest verbatim match; those that match in a seed's
+        length at least are looked up to that depth, for all their places.
         """
-        k = self.seed
-        if not len(self.owner) or len(text) < k:
+        if not len(self.suffix):
             return []
-        # Only suffixes whose first words all occur in passages can match.
-        known = text > 0
-        full = np.concatenate([[0], np.cumsum(known)])
-        at = np.flatnonzero(full[k:] - full[:-k] == k)
-        if not len(at):
+        sa = SuffixArray(text, int(self.length.max()), self.seed)
+        if not len(sa.order):
             return []
-        # The suffix array to the depth of a seed, by doubling of ranks over text and test suffixes.
-        mine = self.start[self.owner] + self.place
-        rank = lambda j: np.concatenate([text[at + j], self.flat[mine + j]])
-        key = rank(0)
-        for j in range(1, k):
-            key = np.unique(key * np.int64(len(self.vocab) + 2) + rank(j), return_inverse=True)[1]
-        shard, test = key[: len(at)], key[len(at) :]
-        order = np.argsort(shard, kind="stable")
-        suffixes = shard[order]
-        lo, hi = np.searchsorted(suffixes, test, "left"), np.searchsorted(suffixes, test, "right")
-        hit = np.flatnonzero(hi > lo)
+        both = Beginnings(sa.words, self.flat)
+        n = len(sa.order)
+
+        def common(at: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+            a = sa.order[at]
+            return both.agree(a, self.suffix[q], np.minimum(sa.end[a] - a, most))
+
+        def bound(q: np.ndarray, most: np.ndarray, right: bool) -> np.ndarray:
+            """The first place in the order whose suffix isn't less than (with ``right``: is greater than) the query's first ``most`` words."""
+            lo, hi = np.zeros(len(q), np.int64), np.full(len(q), n)
+            while (open_ := lo < hi).any():
+                mid = np.minimum((lo + hi) // 2, n - 1)
+                k, a = common(mid, q, most), sa.order[mid]
+                whole = k == most
+                # A suffix that ends within the query is less than it.
+                next_ = np.where(a + k < sa.end[a], sa.words[np.minimum(a + k, n - 1)], 0)
+                less = np.where(whole, right, next_ < self.flat[np.minimum(self.suffix[q] + k, len(self.flat) - 1)])
+                lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+            return lo
+
+        q = np.arange(len(self.suffix))
+        at = bound(q, self.left, False)
+        longest = np.maximum(np.where(at < n, common(np.minimum(at, n - 1), q, self.left), 0), np.where(at > 0, common(np.maximum(at - 1, 0), q, self.left), 0))
+        q = q[longest >= self.seed]
+        depth = np.full(len(q), self.seed)
+        lo, hi = bound(q, depth, False), bound(q, depth, True)
         found: list[tuple[int, int, int, int, int]] = []
-        done = 0
-        while done < len(hit):  # in blocks of bounded size
-            n = np.cumsum(hi[hit[done:]] - lo[hit[done:]])
-            stop = done + max(1, int(np.searchsorted(n, 2_000_000, "right")))
-            block = hit[done:stop]
+        done, total = 0, np.cumsum(hi - lo)
+        while done < len(q):  # in blocks of bounded size
+            before = total[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(total, before + 2_000_000, "right")))
+            c = (hi - lo)[done:stop]
+            of = np.repeat(q[done:stop], c)
+            where = sa.place[sa.order[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[done:stop], c)]]
+            item = self.owner[self.suffix[of]]
+            found += self.verify(text, doc_start, item, where - (self.suffix[of] - self.start[item]), where)
             done = stop
-            c = hi[block] - lo[block]
-            which = np.repeat(block, c)
-            where = at[order[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[block], c)]]
-            found += self.verify(text, doc_start, self.owner[which], where - self.place[which], where)
         return found
 
     def verify(self, text: np.ndarray, doc_start: np.ndarray, item: np.ndarray, diagonal: np.ndarray, where: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -189,8 +252,11 @@ class TestSet:
         doc = np.searchsorted(doc_start, where, "right") - 1
         pairs = np.unique(np.stack([item, diagonal, doc], 1), axis=0)
         ends = np.append(doc_start[1:], len(text))
+        pairs = pairs[np.argsort(self.length[pairs[:, 0]], kind="stable")]
+        cells = np.cumsum(self.length[pairs[:, 0]])
+        cuts = np.searchsorted(cells, np.arange(2_000_000, int(cells[-1]) if len(cells) else 0, 2_000_000))
         out = []
-        for part in np.array_split(pairs, max(1, len(pairs) // 20_000 + 1)):
+        for part in np.split(pairs, np.unique(cuts)):
             if not len(part):
                 continue
             item, diag, doc = part.T
@@ -203,16 +269,60 @@ class TestSet:
             n = np.cumsum(same, 1)
             broken = np.maximum.accumulate(np.where(same, 0, n), 1)
             longest = (n - broken).max(1)
-            # Longest stretch in which replaced words are at most one in `one_in`: a prefix sum must not fall over it.
-            gain = np.where(inside, np.where(same, 1, 1 - self.one_in), -self.one_in * width)
-            total = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(gain, 1)], 1)
-            near = np.zeros(len(part), np.int64)
-            for size in range(width, self.stretch - 1, -1):
-                near = np.where((near == 0) & (total[:, size:] - total[:, :-size] >= 0).any(1), size, near)
+            near = self.longest_near(same, inside)
             for r in np.flatnonzero((longest >= self.run) | (near >= self.stretch)):
-                out.append((int(doc[r]), int(item[r]), int(max(diag[r] - doc_start[doc[r]], 0)), int(longest[r]), int(near[r])))
+                out.append((int(doc[r]), int(item[r]), int(max(diag[r] - doc_start[doc[r]], 0)), int(longest[r]), int(near[r]) if near[r] >= self.stretch else 0))
         return out
 
+    def longest_near(self, same: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Longest stretch of each row in which at most one word in ``one_in`` isn't the same, in one pass over the places.
+
+        A same word counts 1, another one 1 - ``one_in``; a stretch is near if its
+        sum isn't negative. The least sum up to each begin and the greatest from
+        each end on are met by two pointers.
+        """
+        rows, width = same.shape
+        gain = np.where(inside, np.where(same, 1, 1 - self.one_in), -self.one_in * width)
+        total = np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(gain, 1)], 1)
+        low, high = np.minimum.accumulate(total, 1), np.maximum.accumulate(total[:, ::-1], 1)[:, ::-1]
+        each, i, j, best = np.arange(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        while (open_ := j <= width).any():
+            fits = low[each, np.minimum(i, width)] <= high[each, np.minimum(j, width)]
+            best = np.where(open_ & fits, np.maximum(best, j - i), best)
+            i, j = np.where(open_ & ~fits, i + 1, i), np.where(open_ & (fits | (i + 1 > j)), j + 1, j)
+        return best
+
+
+def seed_words(run: int, stretch: int, one_in: int) -> int:
+    """The verbatim run that any stretch with its replaced words holds at least."""
+    allowed = stretch // one_in
+    return max(1, min(run, -(-(stretch - allowed) // (allowed + 1))))
+
+
+class Items:
+    """The test items of a table in the shared folder, as blocks of ``per_pass`` passages; one block is kept, more are read again for each shard."""
+
+    def __init__(self, path: str, per_pass: int, run: int, stretch: int, one_in: int):
+        self.path, self.per_pass, self.setting = path, per_pass, (run, stretch, one_in)
+        self.vocab: dict[str, int] = {}
+        blocks = 0
+        for _, passages in self.rows():
+            blocks += 1
+            for p in passages:
+                for w in p:
+                    self.vocab.setdefault(w, len(self.vocab) + 1)
+        self.kept = list(self.sets()) if blocks <= 1 else None
+
+    def rows(self) -> Iterator[tuple[pa.Array, list[list[str]]]]:
+        for batch in table_batches(self.path, self.per_pass):
+            yield batch.column("item"), batch.column("ws").to_pylist()
+
+    def sets(self) -> Iterator[TestSet]:
+        return (TestSet(names, passages, self.vocab, *self.setting) for names, passages in self.rows())
+
+    def __iter__(self) -> Iterator[TestSet]:
+        return iter(self.kept) if self.kept is not None else self.sets()
+
 
 def find_leaks(
     corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str,
@@ -221,13 +331,15 @@ def find_leaks(
     """Every pair of a corpus text and a test item whose passage it holds, fully or partly.
 
     Each shard of the corpus becomes a suffix array; every suffix of every
-    passage is looked up by binary search. The verbatim matches found are
-    extended along their diagonal over the whole passage, which gives the
-    longest verbatim run (leak: ``run`` words) and the longest stretch with few
-    replaced words (leak: ``stretch`` words, one in ``one_in`` replaced). Any such
-    stretch holds a verbatim run of the seed's length, so none is missed. A pass
-    holds ``items_per_pass`` items in each worker; more items take more passes.
-    The corpus is never shuffled; only leaks are grouped.
+    passage is looked up by binary search, for its longest verbatim match and for
+    all places where it agrees in a seed's length. These are extended along their
+    diagonal over the whole passage, which gives the longest verbatim run (leak:
+    ``run`` words) and the longest stretch with few replaced words (leak: ``stretch``
+    words, one in ``one_in`` replaced). A stretch in which words are replaced, one for
+    one, holds a verbatim run of the seed's length. The items are a table in the
+    shared folder, which each worker reads in blocks of ``items_per_pass``: the
+    corpus is scanned once however many they are, and never shuffled; only leaks
+    are grouped. A worker holds the items' vocabulary, one block and one shard.
 
     Returns one row per pair: ``id_col``, ``item_col``, ``longest_run``,
     ``longest_stretch`` (0 if shorter than ``stretch``), ``first_word`` (place of
@@ -235,59 +347,54 @@ def find_leaks(
     give no rows, nor do passages of fewer than ``run`` words (16). Rows that
     share an id count as one text's parts. Empty tables give no rows.
     """
-    ship(corpus.sparkSession)
+    spark = corpus.sparkSession
+    ship(spark)
     id_kind, item_kind = corpus.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    item_type = to_arrow_type(items.schema[item_col].dataType)
     docs = corpus.select(corpus[f"`{id_col}`"].alias("id"), corpus[f"`{text_col}`"].cast("string").alias("text"))
     schema = f"id {id_kind}, item {item_kind}, longest_run int, longest_stretch int, first_word int"
     wanted = items.select(items[f"`{item_col}`"].alias("item"), items[f"`{passage_col}`"].cast("string").alias("passage")).where("passage is not null")
 
-    def scan(part: list[tuple[object, str]]) -> DataFrame:
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = TestSet(part, run, stretch, one_in)
-            names = pa.array(tests.names, item_type)
-            ids: list[pa.Scalar] = []
-            shard: list[int] = []
-            starts: list[int] = []
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words(p) for p in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["item", "ws"])
+
+    path = written(wanted.mapInArrow(split, f"item {item_kind}, ws array<string>").where(F.size("ws") >= run))
+    seed = seed_words(run, stretch, one_in)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(path, items_per_pass, run, stretch, one_in)
+        ids: list[pa.Scalar] = []
+        shard: list[int] = []
+        starts: list[int] = []
 
-            def flush() -> pa.RecordBatch:
-                rows = tests.search(np.array(shard, np.int64), np.array(starts, np.int64))
+        def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            text, begin = np.array(shard, np.int64), np.array(starts, np.int64)
+            for tests in items:
+                rows = tests.search(text, begin)
                 d, i, w, r, s = zip(*rows) if rows else ((),) * 5
-                id_array = pa.array([ids[k].as_py() for k in d], schema_id)
-                picked = names.take(pa.array(i, pa.int64()))
-                out = pa.RecordBatch.from_arrays([id_array, picked, *(pa.array(c, pa.int32()) for c in (r, s, w))], names=["id", "item", "longest_run", "longest_stretch", "first_word"])
-                ids.clear(), shard.clear(), starts.clear()
-                return out
-
-            schema_id = None
-            for batch in batches:
-                schema_id = batch.column(0).type
-                for name, text in zip(batch.column(0), batch.column(1)):
-                    for ws in readings(text.as_py()):
-                        if len(ws) < tests.seed:
-                            continue
-                        ids.append(name)
-                        starts.append(len(shard))
-                        shard += [tests.vocab.get(w, 0) for w in ws]
-                        shard.append(0)
-                    if len(shard) >= shard_words:
-                        yield flush()
-            if ids:
-                yield flush()
-
-        return docs.mapInArrow(go, schema)
-
-    passes, part = [], []
-    for r in wanted.toLocalIterator():
-        part.append((r.item, r.passage))
-        if len(part) >= items_per_pass:
-            passes.append(scan(part))
-            part = []
-    if part or not passes:
-        passes.append(scan(part))
-    pairs = passes[0]
-    for p in passes[1:]:
-        pairs = pairs.unionByName(p)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[k].as_py() for k in d], id_type), tests.names.take(pa.array(i, pa.int64())), *(pa.array(c, pa.int32()) for c in (r, s, w))],
+                    names=["id", "item", "longest_run", "longest_stretch", "first_word"],
+                )
+            ids.clear(), shard.clear(), starts.clear()
+
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(0).type
+            for name, text in zip(batch.column(0), batch.column(1)):
+                for ws in readings(text.as_py()):
+                    if len(ws) < seed:
+                        continue
+                    ids.append(name)
+                    starts.append(len(shard))
+                    shard += [items.vocab.get(w, 0) for w in ws]
+                    shard.append(0)
+                if len(shard) >= shard_words:
+                    yield from flush(id_type)
+        if ids:
+            yield from flush(id_type)
+
+    pairs = docs.mapInArrow(go, schema)
     best = pairs.groupBy("id", "item").agg(
         F.max("longest_run").alias("longest_run"), F.max("longest_stretch").alias("longest_stretch"),
         F.min_by("first_word", F.struct(-F.col("longest_run"), -F.col("longest_stretch"), "first_word")).alias("first_word"),
