@@ -137,7 +137,7 @@ class Reader(DataSourceReader):
         self.path = options["path"]
         self.chrom = options.get("chrom")
         self.start, self.end = int(options.get("start", 0)), int(options.get("end", 1 << 32))
-        self.per_task = int(options.get("blocksPerTask", 2000))
+        self.per_task = int(options.get("blockspertask", 2000))
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Conditions on chrom, start and end narrow the blocks read; Spark still checks them on the rows."""
@@ -198,7 +198,7 @@ class BinarySites(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(dict(self.options))
+        return Reader({k.lower(): v for k, v in self.options.items()})
 
 
 def read_binary(spark, path: str, **options):
