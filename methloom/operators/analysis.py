@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from methloom.core import BROADCAST_ROWS, durable
+from methloom.operators.dmr import running_sum
+
 
 def present_everywhere(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a value (no null, no NaN) in every column."""
     return matrix.where(_all(~(F.col(c).isNull() | F.isnan(c)) for c in columns))
 
 
+def outer_merge(samples: dict[str, DataFrame], keys: tuple[str, ...] = ("chrom", "start", "end"), value: str = "value", complete: bool = True) -> DataFrame:
+    """The samples' values side by side under the samples' names, one row per key; with ``complete`` only keys that have a value in each.
+
+    One union and one aggregation instead of a chain of outer joins. A key that a
+    sample repeats takes the mean of its values; NaN counts as no value.
+    """
+    rows = [df.select(*keys, F.lit(i).alias("_s"), F.col(value).cast("double").alias("_v")) for i, df in enumerate(samples.values())]
+    long = reduce(DataFrame.unionByName, rows).where("_v is not null and not isnan(_v)")
+    wide = long.groupBy(*keys).agg(*(F.avg(F.when(F.col("_s") == i, F.col("_v"))).alias(name) for i, name in enumerate(samples)))
+    return present_everywhere(wide, list(samples)) if complete else wide
+
+
 def _all(conds) -> Column:
     out = F.lit(True)
     for c in conds:
@@ -25,16 +42,40 @@ def drop_flat_rows(matrix: DataFrame, columns: list[str], flat: float = 0.0) ->
     return matrix.where(~_all(F.col(c) == flat for c in columns))
 
 
+def _value_counts(matrix: DataFrame, values: list[Column]) -> DataFrame:
+    """The values of several expressions with how many rows have them: ``c`` (number of the expression), ``v``, ``_n``; nulls and NaN are left out."""
+    each = F.array(*(F.struct(F.lit(i).alias("c"), v.cast("double").alias("v")) for i, v in enumerate(values)))
+    return matrix.select(F.explode(each).alias("x")).select("x.*").where("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def exact_quantiles(matrix: DataFrame, values: list[Column], prob: float) -> list[float | None]:
+    """A quantile of each expression over all rows, interpolated linearly; None without a value.
+
+    All expressions share one range-partitioned sort of (expression, value), so no
+    task gathers the values of one; the driver sees two values of each.
+    """
+    ranked = durable(running_sum(_value_counts(matrix, values), ["c", "v"], "_n", "_to"))
+    ends = {r.c: (r.a, r.z) for r in ranked.groupBy("c").agg(F.min(F.col("_to") - F.col("_n")).alias("a"), F.max("_to").alias("z")).collect()}
+    at = {c: prob * (z - a - 1) for c, (a, z) in ends.items()}
+    want = [(c, ends[c][0] + k, k) for c, h in at.items() for k in {math.floor(h), math.ceil(h)}]
+    if not want:
+        return [None] * len(values)
+    w = F.broadcast(matrix.sparkSession.createDataFrame(want, "_c int, _p long, k long"))
+    hit = ranked.join(w, (F.col("c") == F.col("_c")) & (F.col("_p") >= F.col("_to") - F.col("_n")) & (F.col("_p") < F.col("_to")))
+    got = {(r.c, r.k): r.v for r in hit.select("c", "k", "v").collect()}
+    low = lambda c: got[c, math.floor(at[c])]
+    return [low(c) + (at[c] - math.floor(at[c])) * (got[c, math.ceil(at[c])] - low(c)) if c in at else None for c in range(len(values))]
+
+
 def outliers(matrix: DataFrame, columns: list[str], max_deviation: float = 200.0) -> DataFrame:
     """Rows outlying in every column: 0.6745 |x - median| / median(|x|) above the bound.
 
     The scale is the median of the absolute values, as defined, not that of the
     absolute deviations. A column of scale 0 has no outliers.
     """
-    meds = matrix.agg(*(F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(columns)), *(F.percentile(F.abs(c), 0.5).alias(f"s{i}") for i, c in enumerate(columns))).first()
+    found = exact_quantiles(matrix, [*(F.col(c) for c in columns), *(F.abs(c) for c in columns)], 0.5)
     conds = []
-    for i, c in enumerate(columns):
-        med, scale = meds[f"m{i}"], meds[f"s{i}"]
+    for c, med, scale in zip(columns, found, found[len(columns) :]):
         conds.append(F.lit(False) if not scale else F.coalesce(F.lit(0.6745) * F.abs(F.col(c) - med) / scale > max_deviation, F.lit(False)))
     return matrix.where(_all(conds))
 
@@ -46,24 +87,33 @@ def pearson(matrix: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("sample_a"), F.lit(b).alias("sample_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 
 
-def average_ranks(matrix: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the average rank (from 1) of each row in a column; from counts per value over a distributed sort."""
-    from methloom.operators.dmr import running_sum
+def average_ranks(matrix: DataFrame, columns: list[str]) -> DataFrame:
+    """The average rank (from 1) of each row in each column, under the columns' names; null for nulls and NaN. Other columns are left out.
 
-    per = matrix.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where("_v is not null")
-    ranked = running_sum(per, "_v", "_n", "_to").select("_v", (F.col("_to") - (F.col("_n") - 1) / 2.0).alias(name))
-    return matrix.join(ranked, matrix[column] == F.col("_v"), "left").drop("_v")
+    All columns are ranked in one range-partitioned sort of their distinct values.
+    These are looked up by broadcast where a count shows that they are few, else
+    the values are joined as (row, column, value) and put side by side again.
+    """
+    m = durable(matrix.select(*(F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns))).withColumn("_row", F.monotonically_increasing_id()))
+    values = [F.col(f"v{i}") for i in range(len(columns))]
+    summed = durable(running_sum(_value_counts(m, values), ["c", "v"], "_n", "_to"))
+    starts = summed.groupBy("c").agg(F.min(F.col("_to") - F.col("_n")).alias("_at"))  # one row per column
+    ranks = summed.join(F.broadcast(starts), "c").select("c", "v", (F.col("_to") - F.col("_at") - (F.col("_n") - 1) / 2.0).alias("r"))
+    if summed.count() <= BROADCAST_ROWS:
+        out = m
+        for i in range(len(columns)):
+            one = ranks.where(F.col("c") == i).select(F.col("v").alias("_v"), F.col("r").alias(f"_r{i}"))
+            out = out.join(F.broadcast(one), F.col(f"v{i}") == F.col("_v"), "left").drop("_v")
+    else:
+        each = F.array(*(F.struct(F.lit(i).alias("c"), v.alias("v")) for i, v in enumerate(values)))
+        wide = m.select("_row", F.explode(each).alias("x")).select("_row", "x.*").join(ranks, ["c", "v"], "left")
+        out = wide.groupBy("_row").agg(*(F.max(F.when(F.col("c") == i, F.col("r"))).alias(f"_r{i}") for i in range(len(columns))))
+    return out.select(*(F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def spearman(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair of columns."""
-    out = matrix
-    for i, c in enumerate(columns):
-        out = average_ranks(out, c, f"_r{i}")
-    names = {f"_r{i}": c for i, c in enumerate(columns)}
-    r = pearson(out, list(names))
-    back = F.create_map(*(x for k, v in names.items() for x in (F.lit(k), F.lit(v))))
-    return r.select(F.element_at(back, F.col("sample_a")).alias("sample_a"), F.element_at(back, F.col("sample_b")).alias("sample_b"), "r")
+    return pearson(average_ranks(matrix, columns), columns)
 
 
 def principal_components(matrix: DataFrame, columns: list[str], k: int = 2) -> DataFrame:

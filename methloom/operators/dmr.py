@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from methloom.core import ship
+from methloom.core import durable, ship, small_side
 from methloom.functions.stats import fisher_counts, group_lrt
 
 
+#: Fits that a worker remembers.
+MEMO = 200_000
+
+
 def level_difference() -> Column:
     """Level of group 1 minus that of group 2; null if a group has no coverage."""
     level = lambda m, c: F.col(m).cast("double") / F.when(F.col(c) > 0, F.col(c).cast("double"))
@@ -51,6 +55,8 @@ def lrt_sites(counts: DataFrame, min_diff: float = 0.25, table: str = "totals")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[tuple, float] = {}
         for df in frames:
+            if len(memo) > MEMO:
+                memo.clear()
             p = np.ones(len(df))
             part = ~df["complete"].to_numpy(bool)
             if part.any():
@@ -71,51 +77,59 @@ def adjust(loci: DataFrame, p_cut: float = 0.01) -> DataFrame:
 
     p m / rank, the least of it from the rank upward, 1 at most, m being the
     survivors. Computed without putting all loci in one task: equal p share one
-    value, so ranks come from counts per p, summed over a range-partitioned sort.
+    value, so ranks come from counts per p. One range-partitioned sort of these
+    serves both the ranks, summed upward, and the running least, taken downward;
+    of a partition only its count and its least value are gathered.
     """
-    kept = loci.where(F.col("p_value") <= p_cut)
-    per = kept.groupBy("p_value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(per, "p_value", "_n", "_rank")
-    # The last locus of equal p has the least p m / rank; the running least goes from the top down.
-    m = F.col("_total").cast("double")
-    raw = ranked.withColumn("_raw", m * F.col("p_value") / F.col("_rank"))
-    low = running_min_from_top(raw, "p_value", "_raw", "_low")
-    adj = low.select(F.col("p_value").alias("_p"), F.least(F.col("_low"), F.lit(1.0)).alias("adj_p"))
+    kept = durable(loci.where(F.col("p_value") <= p_cut))
+    b = _blocks(kept.groupBy("p_value").agg(F.count(F.lit(1)).alias("_n")), ["p_value"])
+    sums = sorted((r["_b"], r["_s"]) for r in b.groupBy("_b").agg(F.sum("_n").alias("_s")).collect())
+    total, before = sum(n for _, n in sums), {}
+    at = 0
+    for k, n in sums:
+        before[k], at = at, at + n
+    spark = loci.sparkSession
+    offs = spark.createDataFrame(list(before.items()) or [(0, 0)], "_b int, _off long")
+    up = Window.partitionBy("_b").orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0)
+    # The last locus of equal p has the least p m / rank.
+    raw = b.withColumn("_rank", F.sum("_n").over(up)).join(F.broadcast(offs), "_b").withColumn("_raw", F.lit(float(total)) * F.col("p_value") / (F.col("_rank") + F.col("_off")))
+    least, above = 1.0, []
+    for r in sorted(raw.groupBy("_b").agg(F.min("_raw").alias("_s")).collect(), key=lambda r: -r["_b"]):
+        above.append((r["_b"], least))
+        least = min(least, r["_s"])
+    tops = spark.createDataFrame(above or [(0, 1.0)], "_b int, _top double")
+    down = Window.partitionBy("_b").orderBy(F.col("p_value").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    low = raw.withColumn("_low", F.min("_raw").over(down)).join(F.broadcast(tops), "_b")
+    adj = low.select(F.col("p_value").alias("_p"), F.least("_low", "_top").alias("adj_p"))
     return kept.join(adj, F.col("p_value") == F.col("_p")).drop("_p")
 
 
-def _blocks(df: DataFrame, order: str) -> DataFrame:
+def _blocks(df: DataFrame, order: list[str]) -> DataFrame:
     """Range-partitioned rows with their partition number, written once."""
-    from methloom.core import durable
-
-    return durable(df.repartitionByRange(order).withColumn("_b", F.spark_partition_id()))
+    return durable(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Cumulative sum in the order of a unique column, partition by partition, and the grand total (``_total``)."""
-    b = _blocks(df, order)
+def running_sum(df: DataFrame, order: str | list[str], value: str, name: str) -> DataFrame:
+    """Cumulative sum in the order of columns that are unique together, partition by partition, and the grand total (``_total``)."""
+    by = [order] if isinstance(order, str) else order
+    b = _blocks(df, by)
     sums = b.groupBy("_b").agg(F.sum(value).alias("_s"))  # one row per partition
     w = Window.orderBy("_b")
     offs = sums.select("_b", (F.sum("_s").over(w) - F.col("_s")).alias("_off"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
-    run = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("_b").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     return b.withColumn(name, F.sum(value).over(run)).join(F.broadcast(offs), "_b").withColumn(name, F.col(name) + F.col("_off")).drop("_off", "_b")
 
 
-def running_min_from_top(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Least value among rows of this or a higher place in the order of a unique column."""
-    b = _blocks(df, order)
-    lows = b.groupBy("_b").agg(F.min(value).alias("_s"))
-    w = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offs = lows.select("_b", F.min("_s").over(w).alias("_off"))
-    run = Window.partitionBy("_b").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn(name, F.min(value).over(run)).join(F.broadcast(offs), "_b").withColumn(name, F.least(F.col(name), F.col("_off"))).drop("_off", "_b")
+def sites_report(loci: DataFrame, fdr: float = 1.0, dictionary: DataFrame | None = None) -> DataFrame:
+    """Significant loci: position, strand, context, p, adjusted p, counts of both groups, signed difference.
 
-
-def sites_report(loci: DataFrame, fdr: float = 1.0) -> DataFrame:
-    """Significant loci: position, strand, context, p, adjusted p, counts of both groups, signed difference."""
-    return loci.where(F.col("adj_p") <= fdr).select(
-        "chrom", "start", *(c for c in ("strand", "context") if c in loci.columns), "p_value", "adj_p", "m1", "c1", "m2", "c2", "diff"
-    )
+    With ``dictionary`` (tid, chrom) they are sorted by p, then by the place in the genome.
+    """
+    out = loci.where(F.col("adj_p") <= fdr)
+    cols = ["chrom", "start", *(c for c in ("strand", "context") if c in loci.columns), "p_value", "adj_p", "m1", "c1", "m2", "c2", "diff"]
+    if dictionary is None:
+        return out.select(*cols)
+    return out.join(small_side(dictionary.select("chrom", "tid")), "chrom", "left").orderBy("p_value", "tid", "start").select(*cols)
 
 
 def call_regions(loci: DataFrame, min_sites: int = 4, gap: int = 100, max_span: int | None = None) -> DataFrame:
@@ -126,7 +140,8 @@ def call_regions(loci: DataFrame, min_sites: int = 4, gap: int = 100, max_span:
     levels of both groups, loci, and how many are hyper- and hypomethylated in
     the first group. With ``max_span`` a region also ends when the next locus
     would stretch it beyond that many bases; that walk is sequential within a run
-    of close loci, so each run (not each chromosome) is a group of its own.
+    of close loci, so each run (not each chromosome) is a group of its own, of
+    distinct positions only, and steps from piece to piece.
     """
     from methloom.operators.intervals import islands
 
@@ -134,18 +149,18 @@ def call_regions(loci: DataFrame, min_sites: int = 4, gap: int = 100, max_span:
     by = ["chrom", "island"]
     if max_span is not None:
         ship(marked.sparkSession)
-        schema = T.StructType([*marked.schema.fields, T.StructField("piece", T.LongType())])
+        marked = durable(marked)
+        schema = T.StructType([*marked.select(*by, "start").schema.fields, T.StructField("piece", T.LongType())])
 
         def walk(df: pd.DataFrame) -> pd.DataFrame:
-            df = df.sort_values("start", kind="stable")
-            piece, begin, out = 0, None, []
-            for s in df["start"]:
-                if begin is None or s - begin > max_span:
-                    piece, begin = piece + 1, s
-                out.append(piece)
-            return df.assign(piece=out)
-
-        marked = marked.groupBy(*by).applyInPandas(walk, schema)
+            at = np.sort(df["start"].to_numpy())
+            begin = [0] if len(at) else []
+            while begin and (k := int(np.searchsorted(at, at[begin[-1]] + max_span, "right"))) < len(at):
+                begin.append(k)  # the first locus out of reach begins the next piece
+            return pd.DataFrame({"chrom": df["chrom"].iat[0], "island": df["island"].iat[0], "start": at, "piece": np.searchsorted(begin, np.arange(len(at)), "right")})
+
+        pieces = marked.select(*by, "start").distinct().groupBy(*by).applyInPandas(walk, schema)
+        marked = marked.join(pieces, [*by, "start"])
         by = [*by, "piece"]
     sums = marked.groupBy(*by).agg(
         F.min("start").alias("region_start"), F.max("start").alias("region_end"), F.count(F.lit(1)).alias("n_sites"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +88,7 @@ def impute_counts(
             F.sum(F.when(both, lp)).cast("float").alias("cp"), F.sum(F.when(both, lw)).cast("float").alias("cw"),
             F.sum(F.when(both, lp * lp)).cast("float").alias("pp"), F.sum(F.when(both, lw * lw)).cast("float").alias("ww"), F.sum(F.when(both, lp * lw)).cast("float").alias("pw"),
             F.sum(lp).cast("float").alias("sp"), F.sum(lw).cast("float").alias("sw"),
-            F.min("_p").cast("int").alias("lop"), F.max("_p").cast("int").alias("hip"), F.min("_w").cast("int").alias("low"), F.max("_w").cast("int").alias("hiw"),
+            F.min("_p").alias("lop"), F.max("_p").alias("hip"), F.min("_w").alias("low"), F.max("_w").alias("hiw"),
             F.max(gap).cast("boolean").alias("gap"),
         )
     )
@@ -105,7 +107,10 @@ def impute_counts(
     fixed = {f: _moments(fixed, f, 4) for f in forms}
 
     need = sums.where("gap").select("_g", "np", "nw", "sp", "sw", "lop", "hip", "low", "hiw")
-    rows = base.where(~both).join(need, "_g", "left").select(
+    # A row without a group meets no other: it isn't brought to the join, where all such rows would come together.
+    lone = base.where(~both & F.col("_g").isNull())
+    joined = base.where(~both & F.col("_g").isNotNull()).join(need, "_g", "left").unionByName(lone, allowMissingColumns=True)
+    rows = joined.select(
         "_k", "_g", "_p", "_w", "lop", "hip", "low", "hiw",
         F.when(F.col("_p").isNotNull(), F.log1p("_p")).alias("lp"), F.when(F.col("_w").isNotNull(), F.log1p("_w")).alias("lw"),
         # The mean over the other rows that have the field; null if there are none.
@@ -148,29 +153,77 @@ def impute_counts(
     )
 
 
-def impute_identifiers(df: DataFrame, key: str, groups: list[str], field: str) -> DataFrame:
-    """Fill a missing identifier from the other rows of the same group.
+def _class_moments(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """Rows of each class of each group, and count, sum and sum of squares of each feature in it."""
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *(a for x in features for a in (F.count(x).alias(f"c{x}"), F.sum(x).alias(f"s{x}"), F.sum(F.col(x) * F.col(x)).alias(f"q{x}"))),
+    )
+
+
+def impute_identifiers(df: DataFrame, key: str, groups: list[str], field: str, features: tuple[str, ...] = (), iterations: int = 3, draw: bool = False) -> DataFrame:
+    """Fill a missing identifier by a classifier fitted on the observed rows of the same group.
 
-    The classifier is the categorical one of the chained equations: the class
-    frequencies of the group's observed rows, of which the most frequent class
-    wins (ties: the smallest). With one incomplete field the chain is settled
-    after one round. Counts are pre-aggregated per (group, class).
+    The categorical step of the chained equations is naive Bayes over the group's
+    classes: the frequency of a class times the normal densities of the numeric
+    ``features`` that the row has, with the class's mean and a variance drawn
+    toward that of the group. The most likely class wins (ties: the smallest), or,
+    with ``draw``, one is drawn by its probability, fixed by the row's key. Filled
+    rows then take part in the fit, under their mask, which is repeated until no
+    row changes its class, ``iterations`` times at most. A group with one class
+    leaves nothing to decide, so only rows of other groups meet the classes, and
+    only those of their group. Moments are reduced per (group, class) before the shuffle.
 
     Returns one row per row whose ``field`` is missing (null, blank or a word
     for "none"): ``key``, the groups, ``field`` (null where no row supplies it)
     and ``<field>_status``. A group with a null in its key supplies nothing.
+    Null and NaN features count as not seen. An empty table gives no rows.
     """
-    names = [f"_g{i}" for i in range(len(groups))]
-    base = df.select(F.col(f"`{key}`").alias("_k"), *(F.col(f"`{c}`").alias(n) for c, n in zip(groups, names)), identifier_or_null(field).alias("_v"))
-    votes = base.where(F.col("_v").isNotNull()).dropna(subset=names).groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    best = votes.groupBy(*names).agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias("_best"))
-    out = base.where(F.col("_v").isNull()).join(best, names, "left")
-    return out.select(
+    names, xs = [f"_g{i}" for i in range(len(groups))], [f"_x{i}" for i in range(len(features))]
+    number = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    base = df.select(
+        F.col(f"`{key}`").alias("_k"), *(F.col(f"`{c}`").alias(n) for c, n in zip(groups, names)), identifier_or_null(field).alias("_v"), *(number(c).alias(x) for c, x in zip(features, xs))
+    )
+    stats = durable(_class_moments(base.where(F.col("_v").isNotNull()).dropna(subset=names), [*names, "_v"], xs))
+    within = lambda x: F.col(f"q{x}") - F.col(f"s{x}") * F.col(f"s{x}") / F.when(F.col(f"c{x}") > 0, F.col(f"c{x}"))
+    per = stats.groupBy(*names).agg(F.count(F.lit(1)).alias("k"), F.min("_v").alias("_one"), *((F.sum(within(x)) / F.sum(f"c{x}")).alias(f"v{x}") for x in xs))
+    missing = base.where(F.col("_v").isNull()).drop("_v")
+    whole = reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in names), F.lit(True))
+    found = missing.where(whole).join(per, names, "left").unionByName(missing.where(~whole), allowMissingColumns=True)
+    filled = found.where("k is null or k = 1").select("_k", *names, F.col("_one").alias("_best"))
+    if not per.where("k > 1").isEmpty():
+        filled = filled.unionByName(_classified(durable(found.where("k > 1")), stats, per, names, xs, iterations, draw))
+    return filled.select(
         F.col("_k").alias(key), *(F.col(n).alias(c) for c, n in zip(groups, names)), F.col("_best").alias(field),
         F.when(F.col("_best").isNotNull(), FILLED).otherwise(MISSING).alias(f"{field}_status"),
     )
 
 
+def _classified(rows: DataFrame, stats: DataFrame, per: DataFrame, names: list[str], xs: list[str], iterations: int, draw: bool) -> DataFrame:
+    """The class of each row by its group's classes, refitted with the filled rows."""
+    fit = stats.join(per.where("k > 1").select(*names), names, "left_semi")
+    observed, label = durable(fit), None
+    fit = observed
+    for _ in range(max(1, iterations)):
+        score = F.log("n")
+        for x in xs:
+            mean = F.col(f"s{x}") / F.when(F.col(f"c{x}") > 0, F.col(f"c{x}"))
+            var = (F.greatest(F.col(f"q{x}") - F.col(f"s{x}") * mean, F.lit(0.0)) + F.coalesce(F.col(f"v{x}"), F.lit(0.0)) + 1e-9) / (F.col(f"c{x}") + 1)
+            density = -0.5 * F.log(var) - (F.col(x) - mean) * (F.col(x) - mean) / (2 * var)
+            score = score + F.coalesce(density, F.lit(0.0))  # not seen in the row or the class
+        if draw:
+            unit = (F.xxhash64("_k", "_v").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+            score = score - F.log(-F.log(unit))  # the greatest of these is a draw by probability
+        scored = rows.join(fit, names).withColumn("_score", F.round(score, 9))
+        best = durable(scored.groupBy("_k", *names, *xs).agg(F.min_by("_v", F.struct(-F.col("_score"), F.col("_v"))).alias("_best")))
+        if label is not None and best.join(label, ["_k", *names]).where("_best <> _was").isEmpty():
+            break
+        label = best.select("_k", *names, F.col("_best").alias("_was"))
+        more = _class_moments(best.withColumnRenamed("_best", "_v"), [*names, "_v"], xs)
+        fit = durable(observed.unionByName(more).groupBy(*names, "_v").agg(*(F.sum(c).alias(c) for c in observed.columns if c not in (*names, "_v"))))
+    return best.select("_k", *names, "_best")
+
+
 def with_fills(df: DataFrame, fills: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """All rows and columns of ``df``, with the filled values and ``<field>_status`` marks of ``fills`` put in.
 

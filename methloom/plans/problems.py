@@ -44,7 +44,8 @@ def _site_fills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cell_fills(spark: SparkSession, d: str) -> DataFrame:
-    return impute_identifiers(table(spark, d, "sc_matrix"), "row_id", ["library_id", "cell_row"], "cell_id")
+    t = table(spark, d, "sc_matrix")
+    return impute_identifiers(t, "row_id", ["library_id", "cell_row"], "cell_id", tuple(c for c in ("mean_meth", "coverage") if c in t.columns))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +67,14 @@ def p5_cells_filled(spark: SparkSession, d: str) -> DataFrame:
     return with_fills(table(spark, d, "sc_matrix"), _cell_fills(spark, d), "row_id", {"cell_id": identifier_or_null("cell_id")})
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_chrom_sums, p4_cell_sums, p5_found, p5_sites_filled, p5_cells_filled)}
+def p5_site_marks(spark: SparkSession, d: str) -> DataFrame:
+    """The marks of all rows with what they hold of observed values; a filled value is a draw, so only its being there is told."""
+    f = p5_sites_filled(spark, d)
+    seen = lambda c: F.when(F.col(f"{c}_status") == "observed", F.col(c)).alias(f"{c}_observed")
+    return f.select("row_id", "site_name", *(c for n in ("meth", "total") for c in (f"{n}_status", seen(n), F.col(n).isNotNull().alias(f"has_{n}"))))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_chrom_sums, p4_cell_sums, p5_found, p5_sites_filled, p5_site_marks, p5_cells_filled)}
 
 _IDENT = "trim(lower(cell_id)) NOT IN ('', '-', 'na', 'n/a', 'nan', 'nil', 'none', 'null', 'unknown', 'undefined', 'missing', 'not available', '?', '.', '--', '#n/a', '<na>', '(none)', '(null)')"
 
@@ -94,6 +102,18 @@ SELECT chrom, COUNT(*) AS n_rows, CAST(SUM(CASE WHEN meth >= 0 THEN meth END) AS
 SELECT cell_id, COUNT(*) AS n_rows, CAST(SUM(n_sites) AS BIGINT) AS n_sites, CAST(SUM(total_coverage) AS BIGINT) AS total_coverage,
   CAST(SUM(lv) AS DOUBLE) / NULLIF(COUNT(lv), 0) / 1e6 AS mean_meth
 FROM (SELECT *, CAST(ROUND(CASE WHEN mean_meth > 1 THEN mean_meth / 100 ELSE mean_meth END * 1e6) AS BIGINT) AS lv FROM sc_qc) q GROUP BY cell_id""",
+    "p5_site_marks": """
+WITH s AS (SELECT row_id, site_name, CASE WHEN meth >= 0 THEN meth END AS m, CASE WHEN total >= 0 THEN total END AS t FROM site_proportions),
+g AS (SELECT site_name, COUNT(m) AS nm, COUNT(t) AS nt FROM s GROUP BY site_name)
+SELECT row_id, s.site_name, CASE WHEN m IS NOT NULL THEN 'observed' WHEN nm > 0 THEN 'filled' ELSE 'missing' END AS meth_status, m AS meth_observed, m IS NOT NULL OR COALESCE(nm, 0) > 0 AS has_meth,
+  CASE WHEN t IS NOT NULL THEN 'observed' WHEN nt > 0 THEN 'filled' ELSE 'missing' END AS total_status, t AS total_observed, t IS NOT NULL OR COALESCE(nt, 0) > 0 AS has_total
+FROM s LEFT JOIN g ON s.site_name = g.site_name""",
+    "p5_cells_filled": f"""
+WITH c AS (SELECT *, CASE WHEN {_IDENT} THEN cell_id END AS own FROM sc_matrix),
+b AS (SELECT library_id, cell_row, MIN(own) AS best FROM c WHERE library_id IS NOT NULL AND cell_row IS NOT NULL GROUP BY library_id, cell_row)
+SELECT c.row_id, c.library_id, c.cell_row, c.region_idx, c.mean_meth, c.coverage, c.loaded_at, COALESCE(own, best) AS cell_id,
+  CASE WHEN own IS NOT NULL THEN 'observed' WHEN best IS NOT NULL THEN 'filled' ELSE 'missing' END AS cell_id_status
+FROM c LEFT JOIN b ON c.library_id = b.library_id AND c.cell_row = b.cell_row""",
     "p5_found": f"""
 WITH s AS (SELECT row_id, site_name, CASE WHEN meth >= 0 THEN meth END AS meth, CASE WHEN total >= 0 THEN total END AS total FROM site_proportions),
 g AS (SELECT site_name, COUNT(meth) AS nm, COUNT(total) AS nt FROM s GROUP BY site_name),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methloom.core import dense_index
+from methloom.core import dense_index, durable, small_side
 from methloom.schema import CONTEXTS, decode_context, fixed
 
 
@@ -27,14 +27,19 @@ def write_by_context(stats: DataFrame, path: str, one_table: bool = False) -> No
 
 
 def matrix_market(cells: DataFrame, cell: str, feature: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matrix lines, features, barcodes) of a long cell matrix: rows are features, columns cells, both numbered from 1 in sorted order."""
-    f = dense_index(cells.select(feature).distinct(), [feature], "_g").select(F.col(feature).alias("_f"), (F.col("_g") + 1).alias("row"))
-    c = dense_index(cells.select(cell).distinct(), [cell], "_g").select(F.col(cell).alias("_c"), (F.col("_g") + 1).alias("col"))
-    entries = cells.join(f, cells[feature] == F.col("_f")).join(c, cells[cell] == F.col("_c"))
-    body = entries.select(F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), fixed(F.col(value), 6)).alias("value"), F.lit(1).alias("_o"))
-    counts = cells.sparkSession.range(1).select(F.lit(f.count()).alias("a"), F.lit(c.count()).alias("b"), F.lit(cells.count()).alias("n"))
-    head = counts.select(F.explode(F.array(F.lit("%%MatrixMarket matrix coordinate real general"), F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"), F.col("n").cast("string")))).alias("value"), F.lit(0).alias("_o"))
-    return head.unionByName(body).orderBy("_o").select("value"), f.orderBy("row").select(F.col("_f").alias("value")), c.orderBy("col").select(F.col("_c").alias("value"))
+    """(matrix lines, features, barcodes) of a long cell matrix: rows are features, columns cells, both numbered from 1 in sorted order.
+
+    The two head lines are the first partition; the entries follow in ranges of
+    (column, row), so no task holds more than its share.
+    """
+    cells = durable(cells.select(F.col(cell).alias("_c"), F.col(feature).alias("_f"), F.col(value).alias("_v")))
+    f = dense_index(cells.select("_f").distinct(), ["_f"], "_g").select("_f", (F.col("_g") + 1).alias("row"))
+    c = dense_index(cells.select("_c").distinct(), ["_c"], "_g").select("_c", (F.col("_g") + 1).alias("col"))
+    entries = cells.join(f, "_f").join(c, "_c").orderBy("col", "row")
+    body = entries.select(F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), fixed(F.col("_v"), 6)).alias("value"))
+    head = ["%%MatrixMarket matrix coordinate real general", f"{f.count()} {c.count()} {cells.count()}"]
+    lines = cells.sparkSession.createDataFrame([(t,) for t in head], "value string").coalesce(1).unionByName(body)
+    return lines, f.orderBy("row").select(F.col("_f").alias("value")), c.orderBy("col").select(F.col("_c").alias("value"))
 
 
 def dense_matrix(cells: DataFrame, cell: str, feature: str, value: str, features: list[str]) -> DataFrame:
@@ -42,9 +47,46 @@ def dense_matrix(cells: DataFrame, cell: str, feature: str, value: str, features
     return cells.groupBy(cell).pivot(feature, features).agg(F.max(value)).fillna(0.0)
 
 
-def group_lines(groups: DataFrame) -> DataFrame:
-    """The groups table: group, region, cells, sites, total and mean coverage, level."""
-    return tsv(groups, *(F.col(c) for c in ("grp", "region_id", "n_cells", "n_sites", "total_coverage")), fixed(F.col("mean_coverage"), 6), fixed(F.col("mean_meth"), 6))
+def group_lines(groups: DataFrame, regions: DataFrame) -> DataFrame:
+    """The groups table with a head line: group, chrom, start, end of the region, cells, sites, total and mean coverage, level.
+
+    ``regions`` has region_id (unique), chrom, rs, re.
+    """
+    r = small_side(regions.select(F.col("region_id").alias("_id"), "chrom", "rs", "re"))
+    rows = groups.join(r, F.col("region_id") == F.col("_id")).orderBy("grp", "chrom", "rs")
+    head = groups.sparkSession.createDataFrame([("group\tchrom\tstart\tend\tn_cells\tn_sites\ttotal_coverage\tmean_coverage\tmean_meth",)], "value string").coalesce(1)
+    return head.unionByName(tsv(rows, *(F.col(c) for c in ("grp", "chrom", "rs", "re", "n_cells", "n_sites", "total_coverage")), fixed(F.col("mean_coverage"), 6), fixed(F.col("mean_meth"), 6)))
+
+
+def group_names(groups: DataFrame) -> DataFrame:
+    """The names of the groups, one a line, sorted."""
+    return groups.select(F.col("grp").alias("value")).where("value is not null").distinct().orderBy("value")
+
+
+def write_prefix_files(lines: dict[str, DataFrame], prefix: str) -> None:
+    """Text tables <prefix>.<name>, one folder each, of lines by name: 'c', 'cg', 'across.chh', 'groups.tsv' and the like."""
+    for name, df in lines.items():
+        write_lines(df, f"{prefix}.{name}")
+
+
+def region_level_lines(stats: DataFrame, regions: DataFrame, context: int) -> DataFrame:
+    """chrom, start, end, level and region of one context, as region and body statistics are written."""
+    r = small_side(regions.select(F.col("region_id").alias("_id"), "chrom", "rs", "re"))
+    rows = stats.where(F.col("context") == context).join(r, F.col("region_id") == F.col("_id"))
+    part = [F.col("part")] if "part" in stats.columns else []
+    return tsv(rows, F.col("chrom"), F.col("rs"), F.col("re"), F.when(F.col("level").isNull(), "NA").otherwise(fixed(F.col("level"), 6)), F.col("region_id"), *part)
+
+
+def by_context(make, contexts: tuple[int, ...] = tuple(range(len(CONTEXTS))), prefix: str = "") -> dict[str, DataFrame]:
+    """``make(code)`` for each context, under the names that ``write_prefix_files`` takes (c, cg, chg, chh)."""
+    return {prefix + CONTEXTS[c].lower(): make(c) for c in contexts}
+
+
+def profile_average_lines(average: DataFrame, bins: int) -> DataFrame:
+    """A line per context, 'C' first: its name and the average level of each bin with 6 decimals, 'nan' where there is none."""
+    w = average.groupBy("context").agg(*(F.max(F.when(F.col("bin") == i, F.col("level"))).alias(f"b{i}") for i in range(bins)))
+    cols = (F.when(F.col(f"b{i}").isNull(), "nan").otherwise(fixed(F.col(f"b{i}"), 6)) for i in range(bins))
+    return w.orderBy("context").select(F.concat_ws("\t", decode_context(F.col("context")), *cols).alias("value"))
 
 
 def profile_matrix_lines(levels: DataFrame, bins: int, context: int) -> DataFrame:

@@ -90,13 +90,28 @@ def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     return f.select(_at(1).alias("chrom"), _at(2, "long").alias("length")).where("length is not null")
 
 
-def chrom_dictionary(sizes: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """Numbered chromosomes (``tid``): by name, or, with sites, those that have some, by name first."""
+def chrom_dictionary(sizes: DataFrame, sites: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """Numbered chromosomes (``tid``, from 0): by name, or, with sites, those that have some, by name first.
+
+    ``order`` names a column of ``sites`` that grows along the input (``at`` of
+    ``first_rows``): chromosomes then come in the order of their first row, and
+    those without any follow by name.
+    """
     from pyspark.sql import Window
 
-    d = sizes if sites is None else sizes.join(sites.select("chrom").distinct().withColumn("_has", F.lit(1)), "chrom", "left")
-    order = [F.col("_has").desc_nulls_last(), "chrom"] if sites is not None else ["chrom"]
-    return d.withColumn("tid", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int")).select("tid", "chrom", "length")  # one row per chromosome
+    place = [F.col("_has").asc_nulls_last()] if sites is not None else []
+    d = sizes
+    if sites is not None:
+        first = sites.groupBy("chrom").agg((F.min(order) if order else F.lit(1)).alias("_has"))
+        d = sizes.join(first, "chrom", "left")
+    return d.withColumn("tid", (F.row_number().over(Window.orderBy(*place, "chrom")) - 1).cast("int")).select("tid", "chrom", "length")  # one row per chromosome
+
+
+def first_rows(lines: DataFrame) -> DataFrame:
+    """Chromosomes (first field) of lines read from files, with ``at``, the file, stretch and place of their first line that is no comment."""
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = lines.where(~F.col("value").startswith("#")).select(F.split(F.trim("value"), r"\s+")[0].alias("chrom"), at.alias("at"))
+    return rows.where("chrom <> ''").groupBy("chrom").agg(F.min("at").alias("at"))
 
 
 def site_lines(sites: DataFrame, bed: bool = False) -> DataFrame:

@@ -112,6 +112,30 @@ def test_impute_identifiers(spark):
     assert got == {2: ("B", "filled"), 5: (None, "missing"), 6: (None, "missing"), 8: ("C", "filled")}
 
 
+def test_identifiers_are_classified_by_their_features(spark):
+    rnd = random.Random(6)
+    rows, truth = [], {}
+    for i in range(400):
+        c = "AB"[i % 3 == 0]
+        truth[i] = c
+        rows.append((i, "l", 1, c if rnd.random() > 0.2 else " none", rnd.gauss(0.2 if c == "A" else 0.8, 0.05) if i % 7 else None, float("nan")))
+    rows += [(900, "l", 2, "C", 0.5, 1.0), (901, "l", 2, None, 0.5, 1.0), (902, None, 1, None, 0.8, None), (903, "l", 1, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, lib string, row int, cell string, level double, cover double")
+    got = {r.id: (r.cell, r.cell_status) for r in impute_identifiers(df, "id", ["lib", "row"], "cell", ("level", "cover")).collect()}
+    assert set(got) == {r[0] for r in rows if r[3] in (None, " none")}
+    assert got[901] == ("C", "filled") and got[902] == (None, "missing") and got[903] == ("A", "filled")
+    assert all(got[i] == (truth[i] if i % 7 else "A", "filled") for i in got if i < 900)
+    drawn = {r.id: r.cell for r in impute_identifiers(df, "id", ["lib", "row"], "cell", draw=True).collect() if r.id < 900}
+    assert {"A", "B"} == set(drawn.values()) and drawn == {r.id: r.cell for r in impute_identifiers(df, "id", ["lib", "row"], "cell", draw=True).collect() if r.id < 900}
+
+
+def test_counts_beyond_an_int(spark):
+    big = 3 << 32
+    df = spark.createDataFrame([(1, "g", big, 2 * big), (2, "g", None, 2 * big), (3, "g", big, None), (4, None, None, 5)], "id int, g string, m long, t long")
+    got = {r.id: r for r in impute_counts(df, "id", "g", "m", "t", residual=False).collect()}
+    assert got[2].m == big and got[3].t == 2 * big and got[4].m is None
+
+
 def test_durable_tables_are_released(spark, tmp_path):
     from methloom import core
 
