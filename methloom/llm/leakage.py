@@ -19,6 +19,8 @@ from methloom.core import ship, table_batches, written
 RUN = 16
 #: Or a stretch of so many words, of which no more than one in ONE_IN is replaced.
 STRETCH, ONE_IN = 30, 6
+#: A word may be replaced by one that is written as up to so many ("forty-one").
+WRITTEN_AS = 3
 #: Words of corpus text in one suffix array, and test items searched at a time.
 SHARD_WORDS = 1_000_000
 ITEMS_PER_PASS = 20_000
@@ -252,6 +254,7 @@ class TestSet:
         doc = np.searchsorted(doc_start, where, "right") - 1
         pairs = np.unique(np.stack([item, diagonal, doc], 1), axis=0)
         ends = np.append(doc_start[1:], len(text))
+        rest: list[np.ndarray] = []
         pairs = pairs[np.argsort(self.length[pairs[:, 0]], kind="stable")]
         cells = np.cumsum(self.length[pairs[:, 0]])
         cuts = np.searchsorted(cells, np.arange(2_000_000, int(cells[-1]) if len(cells) else 0, 2_000_000))
@@ -270,10 +273,67 @@ class TestSet:
             broken = np.maximum.accumulate(np.where(same, 0, n), 1)
             longest = (n - broken).max(1)
             near = self.longest_near(same, inside)
-            for r in np.flatnonzero((longest >= self.run) | (near >= self.stretch)):
+            leak = (longest >= self.run) | (near >= self.stretch)
+            for r in np.flatnonzero(leak):
                 out.append((int(doc[r]), int(item[r]), int(max(diag[r] - doc_start[doc[r]], 0)), int(longest[r]), int(near[r]) if near[r] >= self.stretch else 0))
+            rest.append(np.column_stack([part, longest])[~leak])
+        if rest:
+            out += self.shifted(text, doc_start, ends, np.concatenate(rest), {(d, i) for d, i, *_ in out})
         return out
 
+    def shifted(self, text: np.ndarray, doc_start: np.ndarray, ends: np.ndarray, rows: np.ndarray, known: set[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """Near stretches that change their diagonal where a word was replaced by several, for pairs that aren't leaks on one diagonal.
+
+        A near stretch of twice ``stretch`` words or more has a near half, so there is
+        one of fewer words, with so few replaced ones that its diagonals lie within
+        a band of the seed's. Only pairs of which enough words occur in the band in
+        a stretch's length are aligned.
+        """
+        band = (2 * self.stretch - 1) // self.one_in * (WRITTEN_AS - 1)
+        rows = rows[self.length[rows[:, 0]] >= self.stretch]
+        rows = rows[[(d, i) not in known for i, _, d, _ in rows.tolist()]] if len(rows) else rows
+        out, enough = [], self.stretch - self.stretch // self.one_in
+        for part in np.array_split(rows, max(1, -(-int(self.length[rows[:, 0]].sum()) // 1_000_000))):
+            if not len(part):
+                continue
+            item, diag, doc = part[:, 0], part[:, 1], part[:, 2]
+            j = np.arange(int(self.length[item].max()))
+            mine = np.where(j < self.length[item][:, None], self.flat[np.minimum(self.start[item][:, None] + j, len(self.flat) - 1)], -1)
+            first, last = doc_start[doc][:, None], ends[doc][:, None]
+            some = np.zeros(mine.shape, bool)
+            for shift in range(-band, band + 1):
+                at = diag[:, None] + j + shift
+                some |= (text[np.clip(at, 0, len(text) - 1)] == mine) & (at >= first) & (at < last)
+            n = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(some, 1)], 1)
+            for r in np.flatnonzero((n[:, self.stretch :] - n[:, : -self.stretch]).max(1) >= enough):
+                at = diag[r] + j[: self.length[item[r]], None] + np.arange(-band, band + 1)
+                inside = (at >= doc_start[doc[r]]) & (at < ends[doc[r]])
+                size = self.aligned((text[np.clip(at, 0, len(text) - 1)] == mine[r, : self.length[item[r]], None]) & inside, inside)
+                if size >= self.stretch:
+                    out.append((int(doc[r]), int(item[r]), int(max(diag[r] - doc_start[doc[r]], 0)), int(part[r, 3]), size))
+        return out
+
+    def aligned(self, same: np.ndarray, inside: np.ndarray) -> int:
+        """Words of the longest near stretch in a band: ``same[j, k]`` if word j of the passage is the text's on diagonal k.
+
+        For each begin, the best sum on each diagonal is carried from word to word: a
+        same word counts 1 and stays, another one 1 - ``one_in`` and goes on by the
+        words it is written as.
+        """
+        n, width = same.shape
+        total, best = np.full((n, width), -1 << 30, np.int64), 0
+        for j in range(n):
+            total[j] = np.where(inside[j], 0, -1 << 30)  # a stretch that begins here
+            lost = np.where(inside[j], total + 1 - self.one_in, -1 << 30)
+            new = np.where(same[j], total + 1, lost)
+            for more in range(1, WRITTEN_AS):
+                new[:, more:] = np.maximum(new[:, more:], lost[:, :-more])
+            total = new
+            begun = np.flatnonzero((total[: j + 1] >= 0).any(1))
+            if len(begun):
+                best = max(best, j + 1 - int(begun[0]))
+        return best
+
     def longest_near(self, same: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Longest stretch of each row in which at most one word in ``one_in`` isn't the same, in one pass over the places.
 
@@ -335,8 +395,10 @@ def find_leaks(
     all places where it agrees in a seed's length. These are extended along their
     diagonal over the whole passage, which gives the longest verbatim run (leak:
     ``run`` words) and the longest stretch with few replaced words (leak: ``stretch``
-    words, one in ``one_in`` replaced). A stretch in which words are replaced, one for
-    one, holds a verbatim run of the seed's length. The items are a table in the
+    words, one in ``one_in`` replaced). A word may be replaced by one that is written
+    as up to WRITTEN_AS words, which moves the rest to another diagonal; such
+    stretches are aligned in a band around the seed. Any near stretch holds a
+    verbatim run of the seed's length. The items are a table in the
     shared folder, which each worker reads in blocks of ``items_per_pass``: the
     corpus is scanned once however many they are, and never shuffled; only leaks
     are grouped. A worker holds the items' vocabulary, one block and one shard.
