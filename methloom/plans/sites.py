@@ -19,14 +19,22 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def registered(queries: dict, sqls: dict[str, str]):
+    """A decorator that registers a query, with its SQL if there is one."""
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = registered(QUERIES, SQL)
 
 
 def r6(c):
@@ -392,7 +400,15 @@ def dmr_islands(spark: SparkSession, d: str) -> DataFrame:
     return dmr.call_regions(_adjusted(spark, d), min_sites=2, gap=60)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {A.SAMPLES}, {_GC}, {_FISHER}, {_BH},
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY start) AS k FROM ad),
+wk AS (SELECT chrom, k, start, start AS b, 1 AS piece FROM o WHERE k = 1
+  UNION ALL SELECT o.chrom, o.k, o.start, CASE WHEN o.start - wk.start > 60 OR o.start - wk.b > 150 THEN o.start ELSE wk.b END, wk.piece + CASE WHEN o.start - wk.start > 60 OR o.start - wk.b > 150 THEN 1 ELSE 0 END
+  FROM wk JOIN o ON o.chrom = wk.chrom AND o.k = wk.k + 1)
+SELECT o.chrom, MIN(o.start) AS start, MAX(o.start) AS "end", CAST(SUM(m1) AS DOUBLE) / CAST(SUM(c1) AS DOUBLE) AS level_1, CAST(SUM(m2) AS DOUBLE) / CAST(SUM(c2) AS DOUBLE) AS level_2, COUNT(*) AS n_sites,
+  COUNT(CASE WHEN diff > 0 THEN 1 END) AS hyper, COUNT(CASE WHEN diff < 0 THEN 1 END) AS hypo FROM o JOIN wk ON wk.chrom = o.chrom AND wk.k = o.k GROUP BY o.chrom, piece HAVING COUNT(*) >= 2"""
+)
 def dmr_max_span(spark: SparkSession, d: str) -> DataFrame:
     return dmr.call_regions(_adjusted(spark, d), min_sites=2, gap=60, max_span=150)
 
@@ -556,11 +572,6 @@ def insert_size_counts(spark: SparkSession, d: str) -> DataFrame:
     return readops.insert_sizes(A.reads(spark, d)).groupBy("tlen").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def head_motif_counts(spark: SparkSession, d: str) -> DataFrame:
-    return readops.motif_counts(readops.head_motifs(A.reads(spark, d), _genome(spark, d), proper_pairs=False, chunk=_CHUNK))
-
-
 @query(f"WITH {A.GENOME_LENGTH} SELECT CONCAT('chr', CAST(c AS VARCHAR)) AS chrom, COUNT(*) AS length, COUNT(CASE WHEN b = 'C' THEN 1 END) AS n_c, COUNT(CASE WHEN b = 'G' THEN 1 END) AS n_g, COUNT(CASE WHEN b IN ('C', 'G') THEN 1 END) AS n_cg FROM (SELECT c, " + A._base_sql("i", "c") + " AS b FROM gn, UNNEST(RANGE(0, gl)) u(i), UNNEST(RANGE(1, 6)) v(c)) q GROUP BY c")
 def genome_base_counts(spark: SparkSession, d: str) -> DataFrame:
     return base_counts(A.genome(spark, d))

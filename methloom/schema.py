@@ -87,12 +87,26 @@ def meth_count(df: DataFrame, precision: str = "double") -> Column:
 
 
 def fixed(c: Column, decimals: int) -> Column:
-    """The number as text with so many decimals; ties go to the even digit, as C's printf rounds values that are exact ties.
+    """The number as text with so many decimals, rounded as C's printf does: by the exact binary value, exact ties to the even digit.
 
-    Of a value whose shortest decimal form is a tie but whose binary one isn't,
-    the last digit may differ from printf's.
+    The product with the power of ten is taken with its rounding error (both
+    factors are split in halves whose products are exact), which tells on which
+    side of a tie the value lies. Values of 1e9 and more, which have no room for
+    that, are rounded by their shortest decimal form.
     """
-    text = F.format_string(f"%.{decimals}f", F.bround(c.cast("double"), decimals))
-    # Rounding drops the sign of a negative zero.
-    unsigned = c.cast("string").startswith("-") & ~text.startswith("-")
-    return F.when(unsigned, F.concat(F.lit("-"), text)).otherwise(text)
+    x, scale = F.abs(c.cast("double")), 10.0**decimals
+    half = 134_217_729.0  # 2 ** 27 + 1
+    scale_high = scale * half - (scale * half - scale)
+
+    def near(v: Column) -> Column:
+        high, p = v * half - (v * half - v), v * scale
+        error = ((high * scale_high - p) + high * (scale - scale_high) + (v - high) * scale_high) + (v - high) * (scale - scale_high)
+        up = (error > 0) | ((error == 0) & (F.floor(p) % 2 == 1))
+        return (F.floor(p) + F.when(up, 1).otherwise(0)).cast("double") / scale
+
+    # Only what may be a tie needs the error; as a function of an array's element it stays out of the generated code.
+    tie = (x < 1e9) & (x * scale - F.floor(x * scale) == 0.5)
+    text = F.format_string(f"%.{decimals}f", F.when(tie, F.transform(F.array(x), near)[0]).otherwise(F.bround(x, decimals)))
+    # A negative zero keeps its sign.
+    negative = (c.cast("double") < 0) | ((c.cast("double") == 0) & c.cast("string").startswith("-"))
+    return F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)
