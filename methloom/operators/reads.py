@@ -228,23 +228,19 @@ def emit_sites(piled: DataFrame, min_cover: int = 4, max_cover: int = 1000, cont
     the share of true cytosines, 1 at most; ``eff_ct`` is the coverage that this
     share leaves, null without such evidence. ``nome`` adds the WCG / GCH class.
     """
-    def side(minus: bool) -> DataFrame:
-        c, t = ("neg_m", "neg_u") if minus else ("plus_m", "plus_u")
-        g, a = ("plus_g", "plus_a") if minus else ("neg_c", "neg_t")
-        five = reverse_complement(F.col("five")) if minus else F.col("five")
-        rows = piled.where(F.col("ref_base") == ("G" if minus else "C"))
-        cover = F.col(c) + F.col(t)
-        cols = [
-            F.col("chrom"), (F.col("at") + 1).alias("start"), F.lit("-" if minus else "+").alias("strand"), cytosine_context(F.substring(five, FLANK + 2, 2)).alias("context"),
-            F.col(c).alias("meth"), cover.cast("int").alias("coverage"), corrected_level(F.col(c), F.col(t), F.col(g), F.col(a)).alias("value"),
-            (cover * true_share(F.col(g), F.col(a))).alias("eff_ct"), F.col(g).alias("rev_g"), (F.col(g) + F.col(a)).alias("rev_ga"), five.alias("fivemer"),
-        ]
-        if nome:
-            cols.append(nome_class(F.substring(five, FLANK, 3)).alias("nome"))
-        return rows.select(*cols)
-
-    piled = piled.withColumn("ref_base", F.substring("five", FLANK + 1, 1))
-    out = side(False).unionByName(side(True)).where(F.col("coverage").between(min_cover, max_cover)).withColumn("category", level_category(F.col("value")))
+    # A position has calls on the strand of its reference base only, so both strands come from one pass.
+    minus = F.col("ref_base") == "G"
+    of = lambda m, p: F.when(minus, F.col(m)).otherwise(F.col(p))
+    c, t, g, a = of("neg_m", "plus_m"), of("neg_u", "plus_u"), of("plus_g", "neg_c"), of("plus_a", "neg_t")
+    five = F.when(minus, reverse_complement(F.col("five"))).otherwise(F.col("five"))
+    rows = piled.withColumn("ref_base", F.substring("five", FLANK + 1, 1)).where(F.col("ref_base").isin("C", "G"))
+    rows = rows.select("chrom", "at", minus.alias("minus"), c.alias("c"), t.alias("t"), g.alias("g"), a.alias("a"), five.alias("fivemer")).where((F.col("c") + F.col("t")).between(min_cover, max_cover))
+    c, t, g, a, five = (F.col(x) for x in ("c", "t", "g", "a", "fivemer"))
+    out = rows.select(
+        "chrom", (F.col("at") + 1).alias("start"), F.when(F.col("minus"), "-").otherwise("+").alias("strand"), cytosine_context(F.substring(five, FLANK + 2, 2)).alias("context"),
+        c.alias("meth"), (c + t).cast("int").alias("coverage"), corrected_level(c, t, g, a).alias("value"), ((c + t) * true_share(g, a)).alias("eff_ct"), g.alias("rev_g"), (g + a).alias("rev_ga"),
+        "fivemer", *([nome_class(F.substring(five, FLANK, 3)).alias("nome")] if nome else []),
+    ).withColumn("category", level_category(F.col("value")))
     return out if context in (None, "C") else out.where(F.col("context") == context)
 
 

@@ -13,8 +13,8 @@ from methloom.operators import reads as readops
 from methloom.operators import sites as ops
 from methloom.plans import adapter as A
 from methloom.plans import sites as S
-from methloom.schema import decode_context, decode_strand
-from methloom.sources import binary, reads, regions, sinks, text
+from methloom.schema import decode_context, decode_strand, fixed
+from methloom.sources import binary, reads, regions, results, sinks, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -296,3 +296,33 @@ def differential_text(spark: SparkSession, d: str) -> DataFrame:
     lines = sinks.differential_lines(dmr.sites_report(S._adjusted(spark, d), dictionary=dictionary).drop("strand", "context"))
     f = F.split("value", "\t")
     return lines.select(F.concat_ws("\t", f[0], f[1]).alias("place"), *(f[i].cast("long").alias(c) for i, c in ((4, "m1"), (5, "c1"), (6, "m2"), (7, "c2"))))
+
+
+# -- results read again --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {A.SITES}, {A.REGIONS}, {S._bins_sql('center')} SELECT region_id, bin, CAST(PRINTF('%.4f', level) AS DOUBLE) AS level FROM pf WHERE context = 1")
+def results_profile_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A profile matrix written as text and read again, without the bins that have no level."""
+    lines = sinks.profile_matrix_lines(S._profile(spark, d, "center"), profile.bin_count(S._STEP / 4), 1)
+    return results.parse_matrix(lines).where("level is not null").select("region_id", "bin", "level")
+
+
+@query(f"WITH {A.SAMPLES} SELECT chrom, start, MAX(CASE WHEN sample = 's0' THEN v END) AS s0, MAX(CASE WHEN sample = 's1' THEN v END) AS s1 FROM (SELECT sample, chrom, start, CAST(PRINTF('%.6f', value) AS DOUBLE) AS v FROM sm WHERE sample IN ('s0', 's1') AND context = 1) q GROUP BY chrom, start HAVING COUNT(*) = 2")
+def results_merged_views(spark: SparkSession, d: str) -> DataFrame:
+    """Text views of two samples read again, one context, merged by position; positions that a sample lacks are dropped."""
+    s = A.samples(spark, d)
+    views = {n: results.parse_view(text.site_lines(s.where(f"sample = '{n}'"), bed=True), "CG") for n in ("s0", "s1")}
+    return analysis.outer_merge(views).select("chrom", "start", "s0", "s1")
+
+
+@query(f"WITH {A.SITES} SELECT chrom, start, CAST(strand AS INT) AS strand, CAST(PRINTF('%.6f', value) AS DOUBLE) AS value, CAST(context AS INT) AS context FROM st")
+def results_levels(spark: SparkSession, d: str) -> DataFrame:
+    lines = A.sites(spark, d).select(_text(_C(), _S(), _STRAND(), fixed(F.col("value"), 6), _CONTEXT()))
+    return results.parse_levels(lines).select("chrom", "start", F.col("strand").cast("int").alias("strand"), "value", F.col("context").cast("int").alias("context"))
+
+
+@query(f"WITH {A.SITES} SELECT chrom, start, CAST(strand AS INT) AS strand, meth, CAST(coverage AS INT) AS coverage, 'x' AS id, value FROM st")
+def results_counts(spark: SparkSession, d: str) -> DataFrame:
+    lines = A.sites(spark, d).select(_text(_C(), _S(), _STRAND(), _M(), _N(), "x"))
+    return results.parse_counts(lines).withColumn("strand", F.col("strand").cast("int"))

@@ -92,7 +92,7 @@ def fixed(c: Column, decimals: int) -> Column:
     The product with the power of ten is taken with its rounding error (both
     factors are split in halves whose products are exact), which tells on which
     side of a tie the value lies. Values of 1e9 and more, which have no room for
-    that, are rounded by their shortest decimal form.
+    that, are rounded by their shortest decimal form. Null stays null.
     """
     x, scale = F.abs(c.cast("double")), 10.0**decimals
     half = 134_217_729.0  # 2 ** 27 + 1
@@ -105,8 +105,9 @@ def fixed(c: Column, decimals: int) -> Column:
         return (F.floor(p) + F.when(up, 1).otherwise(0)).cast("double") / scale
 
     # Only what may be a tie needs the error; as a function of an array's element it stays out of the generated code.
-    tie = (x < 1e9) & (x * scale - F.floor(x * scale) == 0.5)
-    text = F.format_string(f"%.{decimals}f", F.when(tie, F.transform(F.array(x), near)[0]).otherwise(F.bround(x, decimals)))
+    rest = x * scale - F.floor(x * scale)
+    other = (F.floor(x * scale) + F.when(rest > 0.5, 1).otherwise(0)).cast("double") / scale
+    text = F.format_string(f"%.{decimals}f", F.when(x >= 1e9, F.bround(x, decimals)).when(rest == 0.5, F.transform(F.array(x), near)[0]).otherwise(other))
     # A negative zero keeps its sign.
     negative = (c.cast("double") < 0) | ((c.cast("double") == 0) & c.cast("string").startswith("-"))
-    return F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(negative, F.concat(F.lit("-"), text)).otherwise(text)

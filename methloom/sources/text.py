@@ -115,7 +115,7 @@ def first_rows(lines: DataFrame) -> DataFrame:
 
 
 def site_lines(sites: DataFrame, bed: bool = False) -> DataFrame:
-    """Rows as tab-separated text (``value``) in the column order of the view command; levels with 6 decimals."""
+    """Rows as tab-separated text (``value``) in the column order of the view command; levels with 6 decimals, NA where there is none."""
     from methloom.schema import decode_context, decode_strand, has
 
     cols: list[Column] = [F.col("chrom"), F.col("start").cast("string")]
@@ -123,7 +123,7 @@ def site_lines(sites: DataFrame, bed: bool = False) -> DataFrame:
         cols.append(F.col("end").cast("string"))
     elif bed:
         cols.append((F.col("start") + 1).cast("string"))
-    cols.append(fixed(F.col("value"), 6))
+    cols.append(F.coalesce(fixed(F.col("value"), 6), F.lit("NA")))
     if has(sites, "coverage"):
         cols.append(F.col("coverage").cast("string"))
     if has(sites, "strand"):
@@ -151,7 +151,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bedgraph_lines(sites: DataFrame, merge_strands: bool = False) -> DataFrame:
-    """chrom, start, end, level; with ``merge_strands`` levels of the - strand are negative."""
+    """chrom, start, end, level; with ``merge_strands`` levels of the - strand are negative. Sites without level are left out."""
     v = F.when(F.col("strand") == 1, -F.col("value")).otherwise(F.col("value")) if merge_strands and "strand" in sites.columns else F.col("value")
     e = F.col("end") if "end" in sites.columns else F.col("start") + 1
-    return sites.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), e.cast("string"), fixed(v, 6)).alias("value"))
+    return sites.where(v.isNotNull()).select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), e.cast("string"), fixed(v, 6)).alias("value"))
