@@ -60,7 +60,7 @@ def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bi
         s = sites.withColumn("_b", first)
     cond = (F.col("chrom") == F.col("_qc")) & (F.col("_b") == F.col("_qb")) & overlaps(F.col("start"), _ends(sites), F.col("_qs"), F.col("_qe"))
     if same_strand:
-        cond = cond & (F.coalesce(F.col("_qst"), F.lit(2)) > 1) | cond & (F.col("strand") == F.col("_qst"))
+        cond = cond & ((F.coalesce(F.col("_qst"), F.lit(2)) > 1) | (F.col("strand") == F.col("_qst")))
     if wide:
         cond = cond & (F.col("_b") == F.greatest(first, F.floor(F.col("_qs") / bin_size)))
     if how == "left_semi":

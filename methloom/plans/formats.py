@@ -298,6 +298,15 @@ def differential_text(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.concat_ws("\t", f[0], f[1]).alias("place"), *(f[i].cast("long").alias(c) for i, c in ((4, "m1"), (5, "c1"), (6, "m2"), (7, "c2"))))
 
 
+@query(
+    f"WITH {A.SITES_FROM_READS} SELECT CONCAT(chrom, CHR(9), CAST(start AS VARCHAR), CHR(9), strand, CHR(9), COALESCE(context, 'NA'), CHR(9), CAST(meth AS VARCHAR), CHR(9), CAST(cov AS VARCHAR), CHR(9), PRINTF('%.6f', level), CHR(9), COALESCE(PRINTF('%.1f', eff), 'null'), CHR(9), "
+    "CAST(rev_g AS VARCHAR), CHR(9), CAST(rev_ga AS VARCHAR), CHR(9), CASE WHEN level >= 0.8 THEN 'M' WHEN level >= 0.6 THEN 'Mh' WHEN level >= 0.4 THEN 'H' WHEN level >= 0.2 THEN 'hU' ELSE 'U' END, CHR(9), fivemer) AS value FROM sx"
+)
+def ratio_report_text(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the ratio report without its head."""
+    return sinks.ratio_lines(readops.emit_sites(readops.pileup(S._pieces(spark, d)))).where("value not like '#%'")
+
+
 # -- results read again --------------------------------------------------------------------------------------------------------
 
 

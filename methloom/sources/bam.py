@@ -3,7 +3,8 @@
     read_bam(spark, "/shared/x.bam")
     read_bam(spark, "/shared/x.bam", chrom="chr1", start=10_000, end=20_000)   # positions from 0, end exclusive
 
-The file must lie where all executors can open it.
+The file must lie where all executors can open it: in a shared folder, behind
+http(s) with ranges, or on a file system that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from methloom.core import ship
+from methloom.sources.remote import exists, file_size, open_binary
 
 SCHEMA = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen int, seq string, qual string, tags string"
 _ARROW = pa.schema(
@@ -224,10 +226,11 @@ def bins_of(start: int, end: int) -> set[int]:
 
 def index_chunks(path: str, ref: int, start: int, end: int) -> list[tuple[int, int]] | None:
     """The stretches (virtual offsets) that may hold records of a region by the file's .bai index; None without one."""
-    found = next((p for p in (path + ".bai", os.path.splitext(path)[0] + ".bai") if os.path.exists(p)), None)
+    found = next((p for p in (path + ".bai", os.path.splitext(path)[0] + ".bai") if exists(p)), None)
     if found is None:
         return None
-    data = open(found, "rb").read()
+    with open_binary(found) as f:
+        data = f.read()
     if data[:4] != INDEX_MAGIC:
         raise ValueError(f"{found}: not an index")
     wanted, at, chunks, least = bins_of(start, end), 8, [], 0
@@ -271,8 +274,8 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for path in self.paths:
-            size = os.path.getsize(path)
-            with open(path, "rb") as f:
+            size = file_size(path)
+            with open_binary(path) as f:
                 if block_size(f.read(18)) is None:
                     f.seek(0)
                     names, lengths = header(gzip.GzipFile(fileobj=f).read)
@@ -298,7 +301,7 @@ class Reader(DataSourceReader):
     def records(self, part: Range) -> Iterator[bytes]:
         if not part.path or part.ref == -1:
             return
-        with open(part.path, "rb") as f:
+        with open_binary(part.path) as f:
             if part.begin is None:
                 raw = gzip.GzipFile(fileobj=f)
                 header(raw.read)
@@ -313,7 +316,7 @@ class Reader(DataSourceReader):
                 if b.more():
                     b.at = part.begin & 0xFFFF
             else:
-                begin = first_block(f, part.begin >> 16, os.path.getsize(part.path))
+                begin = first_block(f, part.begin >> 16, file_size(part.path))
                 if begin is None or begin << 16 >= part.end:
                     return
                 b = Blocks(f, begin)

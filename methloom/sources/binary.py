@@ -4,7 +4,8 @@
     read_binary(spark, "/shared/x.sites").where("chrom = 'chr1' and start < 10000")
 
 Both read the blocks of that range only. Used directly, the data source needs
-spark.sql.python.filterPushdown.enabled. The file must lie where all executors can open it. Blocks are pruned by the
+spark.sql.python.filterPushdown.enabled. The file must lie where all executors can open it
+(a shared folder, http(s) with ranges, or what pyarrow's file systems know). Blocks are pruned by the
 file's own index; a task reads a run of blocks.
 """
 
@@ -18,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from methloom.sources.remote import open_binary
+
 # Fixed values of the file layout: magic numbers and the bits that name the columns of a record.
 BIGWIG, BIGBED, CHROM_TREE, INDEX = 0x888FFC26, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0
 COVERAGE, STRAND, CONTEXT, ID, END, SITES = 0x7, 0x38, 0x1C0, 0xE00, 0x7000, 0x8000
@@ -33,14 +36,21 @@ class Layout:
 
     def __init__(self, path: str):
         self.path = path
-        with open(path, "rb") as f:
+        with open_binary(path) as f:
             self.f = f
             head = f.read(64)
             if len(head) < 64:
                 raise ValueError(f"{path}: too short for a header")
-            self.magic, self.version, self.levels, tree, _, index, _, _, _, self.summary_at, self.buffer, _ = struct.unpack("<IHHQQQHHQQIQ", head)
+            self.magic, self.version, self.levels, tree, _, index, _, _, text, self.summary_at, self.buffer, _ = struct.unpack("<IHHQQQHHQQIQ", head)
             if self.magic not in (BIGWIG, BIGBED) and not self.magic & SITES:
                 raise ValueError(f"{path}: not a binary site table")
+            #: The definition of the columns that a bigBed may carry, '' without one.
+            self.definition = ""
+            if text:
+                f.seek(text)
+                while b"\0" not in (part := f.read(4096)) and part:
+                    self.definition += part.decode("utf-8", "replace")
+                self.definition += part.split(b"\0")[0].decode("utf-8", "replace")
             self.chroms: dict[int, tuple[str, int]] = {}
             f.seek(tree)
             magic, _, key, _, _, _, _ = struct.unpack("<IIIIQII", f.read(32))
@@ -169,7 +179,7 @@ class Reader(DataSourceReader):
         if not partition.blocks:
             return
         names, version, magic, buffer = partition.names, partition.version, partition.magic, partition.buffer
-        with open(partition.path, "rb") as f:
+        with open_binary(partition.path) as f:
             for offset, size in partition.blocks:
                 f.seek(offset)
                 data = f.read(size)
@@ -214,6 +224,19 @@ def read_binary(spark, path: str, **options):
     return r.load(path)
 
 
+def column_definition(path: str) -> str:
+    """The text that defines the columns of a bigBed's entries, '' if the file has none."""
+    return Layout(path).definition
+
+
+def entry_columns(entries, names: list[str]):
+    """The tab-separated further fields of bigBed entries (``id``) as columns of the given names; fields that a row lacks are null."""
+    from pyspark.sql import functions as F
+
+    f = F.split("id", "\t")
+    return entries.select("chrom", "start", "end", *(F.get(f, F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
 def chrom_table(spark, path: str):
     """Chromosomes of a file: tid, chrom, length."""
     return spark.createDataFrame([(t, n, ln) for t, (n, ln) in sorted(Layout(path).chroms.items())], "tid int, chrom string, length long")

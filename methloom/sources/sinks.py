@@ -108,6 +108,14 @@ def differential_lines(loci: DataFrame) -> DataFrame:
     return tsv(loci, *cols)
 
 
+def ratio_lines(report: DataFrame) -> DataFrame:
+    """The ratio report with its head line: 12 columns, levels with 6 decimals, the effective coverage with one or 'null'."""
+    names = "chromsome loci strand context C_count CT_count methRatio eff_CT_count rev_G_count rev_GA_count MethContext 5context".split()
+    head = report.sparkSession.createDataFrame([("#" + "\t".join(names),)], "value string").coalesce(1)
+    eff = F.coalesce(fixed(F.col("eff_ct"), 1), F.lit("null"))
+    return head.unionByName(tsv(report, *(F.col(c) for c in ("chrom", "start", "strand", "context", "meth", "coverage")), fixed(F.col("value"), 6), eff, *(F.col(c) for c in ("rev_g", "rev_ga", "category", "fivemer"))))
+
+
 def region_lines(regions: DataFrame) -> DataFrame:
     """Differential regions: chrom, start, end, both levels, loci, and hyper,hypo."""
     pair = F.concat_ws(",", F.col("hyper").cast("string"), F.col("hypo").cast("string"))

@@ -121,3 +121,68 @@ def test_bam_optional_fields():
     tags = b"NMC\x03" + b"XSi" + struct.pack("<i", -7) + b"YSZACGT\0" + b"XFf" + struct.pack("<f", 0.5) + b"XAAq" + b"XBBs" + struct.pack("<Ihh", 2, -1, 5)
     rec = struct.pack("<iiBBHHHiiii", 0, 4, 2, 60, 0, 1, 0, 3, -1, -1, 0) + b"q\0" + struct.pack("<I", 3 << 4) + b"\x12\x40" + b"\x1e\x1e\x1e" + tags
     assert B.decode(rec, ["c"]) == ("q", 0, "c", 5, 60, "3M", "*", 0, 0, "ACG", "???", "NM:i:3\tXS:i:-7\tYS:Z:ACGT\tXF:f:0.5\tXA:A:q\tXB:B:s,-1,5")
+
+
+@pytest.fixture
+def served(tmp_path):
+    """A folder behind http with range requests; gives its address and the ranges asked for."""
+    import http.server
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            path = tmp_path / self.path.lstrip("/")
+            if not path.exists():
+                return self.send_error(404)
+            data = path.read_bytes()
+            a, z = (int(x) for x in self.headers["Range"].removeprefix("bytes=").split("-"))
+            asked.append((a, z))
+            part = data[a : z + 1]
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {a}-{a + len(part) - 1}/{len(data)}")
+            self.send_header("Content-Length", str(len(part)))
+            self.end_headers()
+            self.wfile.write(part)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_remote_files_by_ranges(spark, tmp_path, served):
+    from methloom.sources import binary, remote
+    from test_sources import binary_file
+
+    address, asked = served
+    (tmp_path / "x").write_bytes(bytes(range(256)) * 40)
+    f = remote.HttpRange(f"{address}/x", buffer=100)
+    f.seek(300)
+    assert f.read(10) == bytes(range(44, 54)) and f.read(20) == bytes(range(54, 74)) and len(asked) == 2
+    assert f.seek(-3, 2) == 10237 and f.read() == b"\xfd\xfe\xff" and f.read(5) == b"" and remote.file_size(f"{address}/x") == 10240
+    assert not remote.exists(f"{address}/none") and remote.exists(f"{address}/x") and remote.local_path("file:///a%20b") == "/a b"
+    kind = binary.SITES | binary.END
+    binary_file(tmp_path / "a.sites", kind, [(0, 5, 8, struct.pack("<IIf", 5, 6, 0.5) + struct.pack("<IIf", 7, 8, 0.25), 1, 0, 0, 2)])
+    assert sorted(r.start for r in binary.read_binary(spark, f"{address}/a.sites").collect()) == [5, 7]
+    data, _ = bgzf(gzip.decompress(bam([("q", 0, 0, 4, [(3, "M")], "ACG")], ["c1"])), 50)
+    (tmp_path / "r.bam").write_bytes(data)
+    assert [(r.qname, r.pos) for r in B.read_bam(spark, f"{address}/r.bam").collect()] == [("q", 5)]
+
+
+def test_definition_of_bigbed_columns(spark, tmp_path):
+    from methloom.sources import binary
+    from test_sources import binary_file
+
+    binary_file(tmp_path / "d.bb", 4, [(0, 1, 9, struct.pack("<III", 0, 1, 9) + b"geneA\t7\0", 1, 0, 0, 1)], magic=binary.BIGBED, zipped=False)
+    assert binary.column_definition(str(tmp_path / "d.bb")) == ""
+    raw = bytearray((tmp_path / "d.bb").read_bytes())
+    raw[36:44] = struct.pack("<Q", len(raw))
+    (tmp_path / "d.bb").write_bytes(bytes(raw) + b"table x (string name; uint score;)\0rest")
+    assert binary.column_definition(str(tmp_path / "d.bb")) == "table x (string name; uint score;)"
+    rows = binary.entry_columns(binary.read_binary(spark, str(tmp_path / "d.bb")), ["name", "score", "more"]).collect()
+    assert [tuple(r) for r in rows] == [("c1", 1, 9, "geneA", "7", None)]
