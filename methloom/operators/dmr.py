@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from methloom.core import durable, ship, small_side
+from methloom.core import BROADCAST_ROWS, durable, ship, small_side
 from methloom.functions.stats import fisher_counts, group_lrt
 
 
@@ -101,7 +101,9 @@ def adjust(loci: DataFrame, p_cut: float = 0.01) -> DataFrame:
     down = Window.partitionBy("_b").orderBy(F.col("p_value").desc()).rowsBetween(Window.unboundedPreceding, 0)
     low = raw.withColumn("_low", F.min("_raw").over(down)).join(F.broadcast(tops), "_b")
     adj = low.select(F.col("p_value").alias("_p"), F.least("_low", "_top").alias("adj_p"))
-    return kept.join(adj, F.col("p_value") == F.col("_p")).drop("_p")
+    # As many rows as there are distinct p; the sums per partition tell an upper bound of them.
+    few = total <= BROADCAST_ROWS
+    return kept.join(F.broadcast(adj) if few else adj, F.col("p_value") == F.col("_p")).drop("_p")
 
 
 def _blocks(df: DataFrame, order: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methloom.core import BROADCAST_BYTES, BROADCAST_ROWS, row_bytes, small_side
+from methloom.core import BROADCAST_BYTES, BROADCAST_ROWS, durable, row_bytes, small_side
 
 #: Widths of join bins to choose from, in bases, and the least one where sites are wide too.
 BINS, WIDE_BIN = (64, 256, 1024, 4096, 16_384, 65_536, 1 << 20), 1024
@@ -72,16 +72,38 @@ def range_join(sites: DataFrame, regions: DataFrame, inclusive: bool = False, bi
     return s.join(q, cond).drop("_b", "_qb", "_qc", "_qs", "_qe", "_qst", "_id")
 
 
+def first_cover(regions: DataFrame, order: str, inclusive: bool = False) -> DataFrame:
+    """The stretches between neighbouring bounds of the regions, each with the first region (least ``order``) that covers it; disjoint, so a position lies in one at most.
+
+    Equal orders: the region of the least values. Columns: chrom, rs, re (of the
+    stretch), and the regions' other columns.
+    """
+    e = F.col("re") + (1 if inclusive else 0)
+    valid = regions.where(F.col("chrom").isNotNull() & F.col("rs").isNotNull() & (e > F.col("rs"))).withColumn("re", e)
+    bounds = valid.select("chrom", F.explode(F.array(*(F.col(c).cast("long") for c in ("rs", "re")))).alias("start")).distinct()
+    after = F.lead("start").over(Window.partitionBy("chrom").orderBy("start"))  # two rows per region
+    cut = bounds.withColumn("end", after).where("end is not null")
+    others = [c for c in regions.columns if c not in ("chrom", "rs", "re")]
+    pairs = range_join(cut, valid.select("chrom", "rs", "re", *(F.col(c).alias(f"_o_{c}") for c in others)))
+    best = pairs.groupBy("chrom", "start", "end").agg(F.min_by(F.struct(*(f"_o_{c}" for c in others)), F.struct(f"_o_{order}", *(f"_o_{c}" for c in others if c != order))).alias("_m"))
+    return best.select("chrom", F.col("start").alias("rs"), F.col("end").alias("re"), *(F.col(f"_m._o_{c}").alias(c) for c in others))
+
+
 def first_match(sites: DataFrame, regions: DataFrame, order: str, inclusive: bool = False) -> DataFrame:
     """Each site with the first region (least ``order``) that it overlaps; sites in none are dropped, repeated rows all stay.
 
-    The regions of a place don't depend on the row, so each distinct place
-    (chrom, start and, where there is one, end) is matched once, the least region
-    being an aggregate that is reduced before the shuffle; the rows then look up
-    their place. Equal orders: the region of the least values.
+    The regions are made disjoint first, each stretch with the region that wins
+    there (``first_cover``), so a point site meets one stretch at most and nothing
+    is grouped. Of a site with an end the least region of its stretches is taken,
+    per distinct place, which its rows then look up. The region's own bounds are
+    not given back.
     """
-    where = [c for c in ("chrom", "start", "end") if c in sites.columns]
-    pairs = range_join(sites.select(*where).distinct(), regions, inclusive)
+    cover = durable(first_cover(regions, order, inclusive))
+    if "end" not in sites.columns:
+        taken = set(sites.columns)
+        return range_join(sites, cover).drop(*("r_rs" if "rs" in taken else "rs", "r_re" if "re" in taken else "re"))
+    where = ["chrom", "start", "end"]
+    pairs = range_join(sites.select(*where).distinct(), cover).drop("rs", "re")
     cols = [c for c in pairs.columns if c not in where]
     best = pairs.groupBy(*(F.col(c).alias(f"_m_{c}") for c in where)).agg(F.min_by(F.struct(*cols), F.struct(F.col(order), *(c for c in cols if c != order))).alias("_m"))
     taken = set(sites.columns)
@@ -130,8 +152,6 @@ def islands(df: DataFrame, by: str, at: str, gap: int) -> DataFrame:
     spread over tasks and only a row per partition is gathered. Ties in position
     fall into one run.
     """
-    from methloom.core import durable
-
     b = durable(df.where(F.col(at).isNotNull()).repartitionByRange(by, at).withColumn("_b", F.spark_partition_id()))
     w = Window.partitionBy("_b").orderBy(by, at)
     ends = b.groupBy("_b").agg(F.max(F.struct(by, at)).alias("_end"))

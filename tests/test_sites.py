@@ -130,6 +130,26 @@ def test_first_match_and_cells(spark):
     assert cells.cell_rows(s, context=0).count() == 0
 
 
+def test_first_match_against_brute_force(spark):
+    rnd = random.Random(12)
+    regs = [(rnd.choice("ab"), s := rnd.randint(0, 200), s + rnd.choice([0, 1, 5, 40, 150]), rnd.randint(0, 9), f"r{i}") for i in range(40)] + [(None, 0, 9, 0, "n"), ("a", None, 9, 0, "m")]
+    pts = [(rnd.choice("ab"), rnd.randint(0, 260), i % 50) for i in range(300)] * 2
+    r = spark.createDataFrame(regs, "chrom string, rs long, re long, k int, name string")
+    p = spark.createDataFrame(pts, "chrom string, start long, id int")
+
+    def best(c, a, z, inclusive):
+        hit = [(k, n) for ch, s, e, k, n in regs if ch == c and s is not None and e + inclusive > s and z > s and a < e + inclusive]
+        return min(hit) if hit else None
+
+    for inclusive in (False, True):
+        want = sorted((c, s, i, *b) for c, s, i in pts if (b := best(c, s, s + 1, inclusive)))
+        assert rows(intervals.first_match(p, r, "k", inclusive), "chrom", "start", "id", "k", "name") == sorted(want, key=repr)
+    wide = p.withColumn("end", F.col("start") + 7)
+    want = sorted((c, s, i, *b) for c, s, i in pts if (b := best(c, s, s + 7, False)))
+    assert rows(intervals.first_match(wide, r, "k"), "chrom", "start", "id", "k", "name") == sorted(want, key=repr)
+    assert intervals.first_match(p, r.limit(0), "k").count() == 0 and intervals.first_match(p.limit(0), r, "k").count() == 0
+
+
 def test_repeated_rows_are_kept(spark):
     regs = table(spark, [("A", "c", 0, 50, 0), ("B", "c", 20, 80, 1), ("any", "c", 70, 90, 2)], REGION).withColumn("region_idx", F.when(F.col("region_id") == "A", 1).otherwise(2))
     twice = table(spark, [site(30, 0, 30), site(30, 10, 10), site(30, 10, 10), site(60, 1, 2), site(75, 1, 2)]).withColumn("id", F.lit("x"))
