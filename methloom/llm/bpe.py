@@ -156,11 +156,14 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return [t for _, ids in self.pieces(text) for t in ids]
 
-    def count(self, text: str) -> int:
+    def counts(self, text: str) -> tuple[list[str], list[int]]:
+        """The pre-tokens and how many ids each has."""
         parts = self.split(text)
         self.learn(parts)
-        memo = self.memo
-        return sum([len(memo[p]) for p in parts])
+        return parts, list(map(len, map(self.memo.__getitem__, parts)))
+
+    def count(self, text: str) -> int:
+        return sum(self.counts(text)[1])
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets."""

@@ -19,6 +19,8 @@ LIMIT, OVERLAP = 512, 64
 LEAST = 256
 #: Pre-tokens under the rolling hash, and one landmark in so many pre-tokens.
 WINDOW, EVERY = 8, 128
+#: Hashes of pre-tokens that a worker remembers.
+MEMO = 200_000
 
 #: Where a piece may end, strongest first; a cut lies after the match, or before the lookahead.
 _BOUNDARIES = (
@@ -36,26 +38,29 @@ class Cutter:
 
     def __init__(self, enc: Encoder, limit: int, overlap: int, least: int):
         self.enc, self.limit, self.overlap, self.least = enc, limit, overlap, least
+        self.hashes: dict[str, int] = {}
 
-    def units(self, pieces: list[tuple[str, tuple[int, ...]]]) -> tuple[list[int], list[int], list[str]]:
+    def units(self, pieces: list[str], n: list[int]) -> tuple[list[int], list[int], list[str]]:
         """Character and token offsets of the places where a cut is possible at all, and the texts between."""
-        chars, toks, parts = [0], [0], []
-        for p, ids in pieces:
-            if len(ids) <= 16:
-                chars.append(chars[-1] + len(p))
-                toks.append(toks[-1] + len(ids))
-                parts.append(p)
-                continue
-            for k in range(0, len(p), 8):  # a run of letters or signs with no boundary of its own
-                q = p[k : k + 8]
-                chars.append(chars[-1] + len(q))
-                toks.append(toks[-1] + self.enc.count(q))
-                parts.append(q)
-        return chars, toks, parts
+        if max(n, default=0) > 16:
+            parts, sizes = [], []
+            for p, k in zip(pieces, n):
+                # A run of letters or signs with no boundary of its own.
+                cut = [p] if k <= 16 else [p[i : i + 8] for i in range(0, len(p), 8)]
+                parts += cut
+                sizes += [k] if k <= 16 else [self.enc.count(q) for q in cut]
+            pieces, n = parts, sizes
+        chars = np.concatenate([[0], np.cumsum(list(map(len, pieces)))])
+        return chars.tolist(), np.concatenate([[0], np.cumsum(n)]).tolist(), pieces
 
     def landmarks(self, parts: list[str]) -> np.ndarray:
         """Units after which the rolling hash of the last WINDOW units says so."""
-        h = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), np.uint64, len(parts))
+        memo = self.hashes
+        if len(memo) > MEMO:
+            memo.clear()
+        for p in set(parts).difference(memo):
+            memo[p] = xxhash.xxh3_64_intdigest(p)
+        h = np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
         roll = np.zeros(len(h), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(min(WINDOW, len(h))):
@@ -78,10 +83,10 @@ class Cutter:
         """(begin, start of new text, end, tokens) of each piece; None if the text is within the limit."""
         if 4 * len(text) <= self.limit or len(text.encode()) <= self.limit:
             return None
-        pieces = self.enc.pieces(text)
-        if sum(len(ids) for _, ids in pieces) <= self.limit:
+        pieces, n = self.enc.counts(text)
+        if sum(n) <= self.limit:
             return None
-        chars, toks, parts = self.units(pieces)
+        chars, toks, parts = self.units(pieces, n)
         marks, nat = self.landmarks(parts), self.naturals(text, chars)
         places = sorted(nat)
         out, at, last = [], 0, len(parts)
