@@ -86,7 +86,19 @@ class Cutter:
         pieces, n = self.enc.counts(text)
         if sum(n) <= self.limit:
             return None
+        # Within a run that units() splits, tokens of a part can only be counted anew.
+        plain = max(n) <= 16
         chars, toks, parts = self.units(pieces, n)
+
+        def size(a: int, b: int) -> int:
+            """Tokens of the units a .. b - 1 encoded by themselves: the sum of their own, but that white space at the end is one run."""
+            if not plain:
+                return self.enc.count(text[chars[a] : chars[b]])
+            k = b
+            while k > a and parts[k - 1].isspace():
+                k -= 1
+            return toks[k] - toks[a] + (self.enc.count(text[chars[k] : chars[b]]) if b - k > 1 else toks[b] - toks[k])
+
         marks, nat = self.landmarks(parts), self.naturals(text, chars)
         places = sorted(nat)
         out, at, last = [], 0, len(parts)
@@ -96,18 +108,18 @@ class Cutter:
             if out:
                 floor = bisect_left(chars, out[-1][0])
                 begin = max(bisect_left(toks, toks[at] - self.overlap), floor)
-                while begin < at and self.enc.count(text[chars[begin] : chars[at]]) > self.overlap:
+                while begin < at and size(begin, at) > self.overlap:
                     begin += 1
             far = max(bisect_right(toks, toks[begin] + self.limit) - 1, at + 1)
             end = last if far >= last else self.snap(at, far, toks, marks, nat, places)
-            n = self.enc.count(text[chars[begin] : chars[end]])
+            n = size(begin, end)
             while n > self.limit:  # the ends of a piece can change how white space is cut
                 if end - at > 1:
                     lower = places[max(0, bisect_left(places, end) - 1)] if places and places[0] < end else 0
                     end = lower if lower > at else end - 1
                 else:
                     begin += 1
-                n = self.enc.count(text[chars[begin] : chars[end]])
+                n = size(begin, end)
             out.append((chars[begin], chars[at], chars[end], n))
             at = end
         return out

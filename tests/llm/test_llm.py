@@ -85,6 +85,16 @@ def test_pieces(spark):
     assert split_long_texts(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_piece_sizes_are_those_of_the_piece_alone():
+    rnd, enc = random.Random(3), encoder()
+    cut = Cutter(enc, 40, 8, 16)
+    bits = [" ", "\n", "\n\n", "\t", "  ", "\r\n", "\u00a0", "word", " don't", "x1", "...", "漢字", "!", "\x1c", "\u2028", "```", "- item", "a" * 70]
+    for k in range(400):
+        text = "".join(rnd.choice(bits[: None if k % 4 == 0 else -1]) for _ in range(rnd.randint(60, 200)))
+        for begin, new, end, n in cut.cut(text) or ():
+            assert n == enc.count(text[begin:end]) <= 40 and enc.count(text[begin:new]) <= 8
+
+
 def passage(seed, n=60):
     rnd = random.Random(seed)
     return [f"w{rnd.randint(0, 400)}" if rnd.random() < 0.3 else rnd.choice("kiln meadow lantern harvest cooper toll quarry estuary ferry mill".split()) for _ in range(n)]
