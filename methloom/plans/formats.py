@@ -15,6 +15,7 @@ from methloom.plans import adapter as A
 from methloom.plans import sites as S
 from methloom.schema import decode_context, decode_strand, fixed
 from methloom.sources import binary, reads, regions, results, sinks, text
+from methloom.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -307,6 +308,17 @@ def ratio_report_text(spark: SparkSession, d: str) -> DataFrame:
     return sinks.ratio_lines(readops.emit_sites(readops.pileup(S._pieces(spark, d)))).where("value not like '#%'")
 
 
+@query(_sql(_PLAIN.format(v=_RATIO)))
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Text read as a stream, appended to the native table and read from there."""
+    folder = _folder(spark)
+    sinks.write_lines(A.sites(spark, d).select(_text(_C(), _S(), _STRAND(), _CONTEXT(), _M(), _N())), f"{folder}/in")
+    stream = ingest.stream_sites(spark, f"{folder}/in", "methratio")
+    ingest.append_table(stream, f"{folder}/out", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    whole = (F.col(c).cast("int").alias(c) for c in ("coverage", "strand", "context"))
+    return text.read_table(spark, f"{folder}/out").select("chrom", "start", "end", F.round(F.col("value").cast("double"), 5).alias("value"), *whole, "meth")
+
+
 # -- results read again --------------------------------------------------------------------------------------------------------
 
 
