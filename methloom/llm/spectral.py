@@ -470,8 +470,8 @@ def _pairs_of(cells: DataFrame, tolerance: float) -> DataFrame:
 def cell_pairs(groups: DataFrame, tolerance: float = TOLERANCE, meetings: DataFrame | None = None, block: int = BLOCK_CELLS) -> DataFrame:
     """The pairs a < b of one group, or of two groups of ``meetings``, that an exact check of both differences confirms.
 
-    A group of more than ``block`` cells is parted by bins of the level, as wide as
-    the tolerance, and these by salt, so that no task holds more than two parts of
+    A group of more than ``block`` cells (fewer where a cell has very many features)
+    is parted by bins of the level, as wide as the tolerance, and these by salt, so that no task holds more than two parts of
     about that many cells; parts whose levels can't be within the tolerance don't
     meet. Features travel once per cell and pair of parts, not once per pair of
     cells. The result has as many rows as there are such pairs, which is what is
@@ -479,6 +479,8 @@ def cell_pairs(groups: DataFrame, tolerance: float = TOLERANCE, meetings: DataFr
     """
     g = groups.where("level is not null").select("cell_id", F.xxhash64("grp").alias("g"), "level", "vals", *([F.col("affinity")] if "affinity" in groups.columns else []))
     g = durable(g)
+    one = g.select(F.size("vals").alias("w")).first()
+    block = min(block, max(16, 4 * BLOCK_VALUES // max(1, one.w if one else 1)))  # wide panels: fewer cells, so that a block's features stay within 128 MB
     sizes = g.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     heavy = sizes.where(F.col("n") > block)
     many = not heavy.isEmpty()
