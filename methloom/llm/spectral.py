@@ -247,7 +247,7 @@ def _keyed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     offers = keyed.where("level is not null").select("cid", "level", "vals").mapInArrow(offer, "cid long, level double, b long")
     near = (F.col("s") != F.col("cid")) & (F.abs(F.col("level") - F.col("_l")) <= TOLERANCE)
-    found = durable(offers.join(small_side(seeks), "b").where(near).select("s", "cid").distinct())
+    found = offers.join(small_side(seeks), "b").where(near).select("s", "cid").distinct()
     one = keyed.select("cid", "level", "vals")
     both = found.join(one.select(F.col("cid").alias("s"), F.struct("level", "vals").alias("a")), "s").join(one.select("cid", F.struct("level", "vals").alias("b")), "cid")
     mates = durable(both.where(_alike("a", "b", TOLERANCE)).select("s", "cid"))
@@ -286,8 +286,8 @@ def _lloyd(points: np.ndarray, weight: np.ndarray) -> np.ndarray:
             return near
 
 
-def _embedding_clusters(x: DataFrame, vs: list[str]) -> DataFrame:
-    """K-means of the embedding: ``cid`` and ``grp``, the number of its cluster.
+def _embedding_clusters(x: DataFrame, vs: list[str], n: int) -> DataFrame:
+    """K-means of the embedding of ``n`` cells at most: ``cid`` and ``grp``, the number of its cluster.
 
     Like points are counted as one, so that a group of any size is a few weighted
     points. The space is cut into boxes, each clustered with the points around it
@@ -298,8 +298,8 @@ def _embedding_clusters(x: DataFrame, vs: list[str]) -> DataFrame:
     places = [F.floor(F.col(v) * FINE).cast("int").alias(f"p{i}") for i, v in enumerate(vs)]
     names = [f"p{i}" for i in range(len(vs))]
     x = x.select("cid", *vs, *places)
-    points = durable(x.groupBy(*names).agg(F.count(F.lit(1)).alias("w"), *(F.avg(v).alias(v) for v in vs)).withColumn("name", F.xxhash64(*names)))
-    dims = min(len(vs), max(1, math.ceil(math.log(max(1, points.count()) / BOX_POINTS + 1, 6))))
+    points = x.groupBy(*names).agg(F.count(F.lit(1)).alias("w"), *(F.avg(v).alias(v) for v in vs)).withColumn("name", F.xxhash64(*names))
+    dims = min(len(vs), max(1, math.ceil(math.log(n / BOX_POINTS + 1, 6))))
     box = F.array(F.array().cast("array<int>"))
     for v in vs[:dims]:
         own = F.floor(F.col(v) / BOX).cast("int")
@@ -325,15 +325,16 @@ def _embedded(cells: DataFrame, rounds: int, vectors: int | None) -> tuple[DataF
     z = cells.select("cid", F.explode("buckets").alias("b")).unionByName(exact)
     shared = z.groupBy("b").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
     z = durable(z.join(shared, "b").select("cid", "b", "w"))
+    n = cells.count()
     if vectors is None:
-        vectors = max(5, 2 + math.ceil(math.log(cells.count() + 1, 16)))
+        vectors = max(5, 2 + math.ceil(math.log(n + 1, 16)))
     vs = [f"x{i}" for i in range(vectors)]
     # The start: one random value per smallest shared bucket, so that large groups keep apart too.
     x = z.groupBy("cid").agg(F.min("b").alias("m")).select("cid", *(_unit(F.col("m"), F.lit(i)).cast("float").alias(v) for i, v in enumerate(vs)))
     for _ in range(rounds):
         y = z.join(x, "cid").groupBy("b").agg(*(F.avg(v).cast("float").alias(v) for v in vs))
         x = z.join(y, "b").groupBy("cid").agg(*((F.sum(F.col("w") * F.col(v)) / F.sum("w")).cast("float").alias(v) for v in vs))
-    return cells, z, durable(_embedding_clusters(durable(x), vs))
+    return cells, z, durable(_embedding_clusters(durable(x), vs, n))
 
 
 def _meetings(z: DataFrame, label: DataFrame) -> DataFrame:
@@ -508,8 +509,8 @@ def cell_pairs(groups: DataFrame, tolerance: float = TOLERANCE, meetings: DataFr
         met = across if met is None else met.unionByName(across)
     if met is None:
         return pairs
-    met = durable(met.withColumn("u", F.xxhash64("one", "two")))
-    send = met.select(F.col("one").alias("p"), "u", F.lit(1).alias("side")).unionByName(met.select(F.col("two").alias("p"), "u", F.lit(2).alias("side")))
+    ends = F.explode(F.array(*(F.struct(F.col(c).alias("p"), F.lit(k).alias("side")) for k, c in ((1, "one"), (2, "two")))))
+    send = met.select(F.xxhash64("one", "two").alias("u"), ends.alias("x")).select("x.p", "u", "x.side")
     both = send.join(put.select("p", "cell_id", "level", "vals"), "p").select("u", "side", "cell_id", "level", "vals").repartition("u")
     return pairs.unionByName(_pairs_of(both, tolerance))
 
