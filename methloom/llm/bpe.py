@@ -136,12 +136,13 @@ class Encoder:
     def learn(self, pieces: Iterable[str]) -> None:
         """Resolve the pre-tokens that aren't remembered yet."""
         memo = self.memo
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
+        distinct = dict.fromkeys(pieces)  # once: pieces may be an iterator
+        new = [p for p in distinct if p not in memo]
         if not new:
             return
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list(dict.fromkeys(pieces))
+            new = list(distinct)
         raw = [p.encode() for p in new]
         at = self.hash.find(np.fromiter((xxhash.xxh3_64_intdigest(r) for r in raw), np.uint64, len(raw)))
         keys, ids = self.keys, self.ids

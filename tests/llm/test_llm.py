@@ -51,6 +51,24 @@ def test_random_bytes_merge_like_public_library():
         assert own.encode(s) == enc(s)
 
 
+def test_batches_beyond_the_memo_are_encoded_whole(monkeypatch):
+    import base64
+
+    from methloom.llm import bpe
+
+    with open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb") as f:
+        own = bpe.Encoder({base64.b64decode(t): int(r) for t, r in map(bytes.split, f)})
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    enc = reference_encoder()
+    batches = [[f"word{k} of batch {k}, item x{k * i}y" for i in range(30)] + ["", None] for k in range(6)]
+    batches.append([f"q{i}z" for i in range(120)])  # more than the memo holds at all
+    for texts in batches:
+        flat, offsets = own.encode_batch(texts)
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [enc(t) if t else [] for t in texts]
+        for t in filter(None, texts[:3]):
+            assert own.encode(t) == enc(t) and own.count(t) == len(enc(t))
+
+
 def test_pieces(spark):
     enc = reference_encoder()
     rnd = random.Random(4)
