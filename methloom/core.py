@@ -115,10 +115,15 @@ def row_bytes(df: DataFrame) -> Column:
     return size.cast("long")
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if at most ``max_rows`` rows of together at most ``max_bytes`` are seen; else leave the join to Catalyst."""
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, otherwise: str | None = None) -> DataFrame:
+    """Hint a broadcast only if at most ``max_rows`` rows of together at most ``max_bytes`` are seen; else leave the join to Catalyst, or hint ``otherwise``.
+
+    Of what a Python function makes Catalyst knows no size and may still broadcast it, which "merge" prevents.
+    """
     seen = df.select(row_bytes(df).alias("b")).limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
-    return F.broadcast(df) if seen.n <= max_rows and (seen.b or 0) <= max_bytes else df
+    if seen.n <= max_rows and (seen.b or 0) <= max_bytes:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
 
 
 def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:

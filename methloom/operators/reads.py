@@ -71,11 +71,8 @@ def trim_overlaps(pieces: DataFrame) -> DataFrame:
     return x.withColumn("skip_to", F.when(right, F.coalesce("_left", F.lit(0))).otherwise(F.lit(0))).drop("_left", "_first")
 
 
-def aligned_pieces(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per run of aligned (M) bases within a reference chunk: 0-based ``ref_at``, ``bases``, ``read_at``.
-
-    ``pair`` is common to the mates on one chromosome, and to nothing else.
-    """
+def aligned_runs() -> Column:
+    """The runs of aligned (M) bases under the CIGAR: offsets ``g`` in the reference and ``r`` in the read, both from 0, and length ``n``."""
     n = F.regexp_extract_all("cigar", F.lit(r"(\d+)[SMID]"), 1)
     op = F.regexp_extract_all("cigar", F.lit(r"\d+([SMID])"), 1)
     zero = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("r"), F.array().cast("array<struct<g:bigint,r:bigint,n:bigint>>").alias("out"))
@@ -87,8 +84,15 @@ def aligned_pieces(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
             F.when(o == "M", F.array_append(acc["out"], F.struct(acc["g"].alias("g"), acc["r"].alias("r"), k.alias("n")))).otherwise(acc["out"]).alias("out"),
         )
 
-    runs = F.aggregate(F.zip_with(n, op, lambda a, b: F.struct(a.alias("n"), b.alias("op"))), zero, step)["out"]
-    x = reads.withColumn("_m", F.explode(runs)).withColumn("_s", F.col("pos") - 1 + F.col("_m.g")).withColumn("_e", F.col("_s") + F.col("_m.n"))
+    return F.aggregate(F.zip_with(n, op, lambda a, b: F.struct(a.alias("n"), b.alias("op"))), zero, step)["out"]
+
+
+def aligned_pieces(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per run of aligned (M) bases within a reference chunk: 0-based ``ref_at``, ``bases``, ``read_at``.
+
+    ``pair`` is common to the mates on one chromosome, and to nothing else.
+    """
+    x = reads.withColumn("_m", F.explode(aligned_runs())).withColumn("_s", F.col("pos") - 1 + F.col("_m.g")).withColumn("_e", F.col("_s") + F.col("_m.n"))
     x = x.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk))))
     a, b = F.greatest("_s", F.col("chunk") * chunk), F.least("_e", (F.col("chunk") + 1) * chunk)
     off = F.col("_m.r") + a - F.col("_s")
@@ -380,16 +384,25 @@ def head_motifs(reads: DataFrame, reference: DataFrame, min_mapq: int = -1, prop
     The end is the first base of forward reads and the last of reverse ones (whose
     motif is given as on the reference strand). Converted bases are shown as U.
     Reads whose end has no four aligned bases in a row of the reference are left out.
+    A repeated row is kept.
     """
     u = usable_reads(reads, min_mapq, proper_pairs)
-    fwd = F.col("hit").isin(1, 2)
-    ends = read_bases(with_reference(aligned_pieces(u, chunk), reference)).where(F.when(fwd, F.col("at") < F.col("pos") + 3).otherwise(F.col("at") >= F.col("ref_end") - 5))
+    # The four places from ``_w``, from 0 as ``_o`` from the read's first one; a chunk holds them all with its flanks if it has the second one.
+    x = u.withColumn("_o", F.when(F.col("hit").isin(1, 2), F.lit(0).cast("long")).otherwise(reference_span() - 4)).withColumn("_w", F.col("pos") - 1 + F.col("_o"))
+
+    def under(m: Column) -> Column:
+        lo, hi = F.greatest(m["g"], F.col("_o")), F.least(m["g"] + m["n"], F.col("_o") + 4)
+        return F.substring("seq", (m["r"] + lo - m["g"] + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+
+    x = x.withColumn("_b", F.upper(F.array_join(F.transform(aligned_runs(), under), ""))).where((F.length("_b") == 4) & (F.col("_w") >= 0))
+    x = x.select("qname", "hit", F.col("rname").alias("chrom"), "pos", "cigar", F.col("tlen").alias("insert_size"), "_w", "_b", F.floor((F.col("_w") + 1) / chunk).alias("chunk"))
+    r = reference.select("chrom", "chunk", "first", F.col("seq").cast("binary").alias("_seq"))
+    j = x.join(small_side(r, 2000, otherwise="merge"), ["chrom", "chunk"]).withColumn("ref4", F.substring("_seq", (F.col("_w") - F.col("first") + 1).cast("int"), 4).cast("string"))
     plus = F.col("hit").isin(1, 3)
-    converted = (F.col("base") == F.when(plus, "T").otherwise("A")) & (F.col("ref") == F.when(plus, "C").otherwise("G"))
-    four = F.array_sort(F.collect_list(F.struct("at", F.when(converted, "U").otherwise(F.col("base")).alias("b"), F.col("ref").alias("r"))))  # 4 at most
-    text = lambda f: F.array_join(F.transform("x", lambda e: e[f]), "")
-    motifs = ends.groupBy("read_id").agg(four.alias("x")).select("read_id", text("b").alias("head4"), text("r").alias("ref4")).where(F.length("head4") == 4)
-    return u.select("read_id", "qname", "hit", F.col("rname").alias("chrom"), "pos", "cigar", F.col("tlen").alias("insert_size")).join(motifs, "read_id").drop("read_id")
+    at = lambda c, i: F.substring(c, i, 1)
+    converted = lambda i: (at("_b", i) == F.when(plus, "T").otherwise("A")) & (at("ref4", i) == F.when(plus, "C").otherwise("G"))
+    head = F.concat(*(F.when(converted(i), "U").otherwise(at("_b", i)) for i in range(1, 5)))
+    return j.where(F.length("ref4") == 4).select("qname", "hit", "chrom", "pos", "cigar", "insert_size", head.alias("head4"), "ref4")
 
 
 def motif_counts(motifs: DataFrame) -> DataFrame:
